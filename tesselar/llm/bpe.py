@@ -295,7 +295,7 @@ def decode(df: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         codec = _codec(shared)
-        for batch in batches:
+        for batch in common.slices(batches):
             texts = [codec.decode(x, y) for x, y in zip(batch.column(a).to_pylist(), batch.column(b).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, "decoded"])
 
@@ -307,5 +307,5 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = decode(encode(common.documents(spark, sf_dir).select("doc_id", "text"), path), path)
+    coded = decode(encode(common.documents(spark, sf_dir).select("doc_id", "text"), path).drop("text"), path)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -49,6 +49,16 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+#: Rows that an operator in Python holds at once, with what it makes of them.
+SLICE_ROWS = 256
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(k, SLICE_ROWS)
+
+
 def append_arrow(df: DataFrame, text: str, fields: list[T.StructField], fn: Callable[[pa.Array], list[pa.Array]], keep: Callable[[list[pa.Array]], pa.Array] | None = None) -> DataFrame:
     """df with the columns that fn makes of the column `text`, one Arrow batch at a time.
 
@@ -61,7 +71,7 @@ def append_arrow(df: DataFrame, text: str, fields: list[T.StructField], fn: Call
     schema = T.StructType(left + fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             made = fn(batch.column(at))
             old = [c for i, c in enumerate(batch.columns) if not (replaced and i == at)]
             names = [n for i, n in enumerate(batch.schema.names) if not (replaced and i == at)]
