@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesselar.queries import basics, graphs, searches
+from tesselar.queries import basics, graphs, reviews, searches
 from tesselar.queries.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "flagship", "graphs", "searches"]
+__all__ = ["ORACLES", "QUERIES", "flagship", "graphs", "reviews", "searches"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
