@@ -119,7 +119,7 @@ def macro_rules(spark: SparkSession, language: str = "rust") -> DataFrame:
 def macros(graph: PropertyGraph, language: str = "rust") -> tuple[DataFrame, DataFrame]:
     """Edges from callers of macros to what they expand to, and these StdlibSymbol nodes."""
     rules = F.broadcast(macro_rules(graph.nodes.sparkSession, language))  # a fixed table
-    sites = graph.scan("CallSite").join(rules, "callee_name").select(text.caller_of_site(F.col("id")).alias("from_qn"), "canonical_path")
+    sites = graph.scan("CallSite").select("id", "callee_name").join(rules, "callee_name").select(text.caller_of_site(F.col("id")).alias("from_qn"), "canonical_path")
     met = joins.label_or_default(sites, "from_qn", symbols(graph)).where(F.col("label").isin(CALLABLE))
     target = F.concat(F.lit(f"stdlib::{language}::"), F.col("canonical_path"))
     edges = met.select(*_edge("Calls", F.col("label"), F.col("from_qn"), F.lit("StdlibSymbol"), target, F.lit(0.85), "macro-expansion", 6))

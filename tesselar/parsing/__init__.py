@@ -1 +1,56 @@
+"""Source files to nodes and references, one extractor for each language, run next to the data."""
 
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+from tesselar.parsing.base import Node, Ref
+from tesselar.parsing.braces import C, Cpp, Go, Java, Kotlin, ObjC, Swift, TypeScript
+from tesselar.parsing.python import Python
+from tesselar.parsing.rust import Rust
+
+EXTRACTORS = {x.language: x for x in (Rust, Python, TypeScript, Java, Kotlin, Swift, ObjC, C, Cpp, Go)}
+MOST_BYTES = 1 << 20
+SCHEMA = "file string, language string, seq int, record string, label string, name string, qualified_name string, start_line long, end_line long, visibility string, properties map<string,string>, kind string, from_qualified_name string, to_qualified_name string, error string"
+
+
+def parse(source: str, path: str, language: str) -> tuple[list[Node], list[Ref]]:
+    return EXTRACTORS[language](source, path).parse()
+
+
+def _rows(path: str, language: str, source: str | None) -> Iterator[tuple]:
+    blank = (None,) * 7
+    if source is None or language not in EXTRACTORS:
+        return
+    if len(source.encode()) > MOST_BYTES:
+        yield (path, language, 0, "error", *blank, None, None, None, f"over {MOST_BYTES} bytes")
+        return
+    try:
+        nodes, refs = parse(source, path, language)
+    except (SyntaxError, RecursionError, ValueError, KeyError, IndexError) as e:  # a file that can't be read is a row, not a failed job
+        yield (path, language, 0, "error", *blank, None, None, None, f"{type(e).__name__}: {e}"[:300])
+        return
+    for i, n in enumerate(nodes):
+        yield (path, language, i, "node", n.label, n.name, n.qualified_name, n.start_line, n.end_line, n.visibility, n.properties, None, None, None, None)
+    for i, r in enumerate(refs):
+        yield (path, language, i, "ref", *blank, r.kind, r.from_qualified_name, r.to_qualified_name, None)
+
+
+def parse_files(files: DataFrame) -> DataFrame:
+    """SCHEMA rows (records node, ref and error) of files (path, language, content). Arrow batches in, rows out; a file is in one task."""
+    names = [f.split()[0] for f in SCHEMA.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k in range(0, len(batch), 64):
+                part = batch.iloc[k : k + 64]
+                rows = [r for p, lang, c in zip(part.path, part.language, part.content, strict=True) for r in _rows(p, lang, c)]
+                yield pd.DataFrame(rows, columns=names)
+
+    return files.select("path", "language", "content").mapInPandas(run, SCHEMA)
+
+
+__all__ = ["EXTRACTORS", "SCHEMA", "parse", "parse_files"]
