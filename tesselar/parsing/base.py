@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from tesselar.parsing.tokens import Token, pairs, tokenise
 
 # Words that stand before a parenthesis and call nothing.
-NO_CALL = {"if", "for", "while", "match", "switch", "return", "catch", "when", "guard", "fn", "fun", "func", "function", "sizeof", "typeof", "in", "as", "let", "var", "val", "else", "do", "try", "await", "yield", "super", "this", "self", "where", "case", "throw", "delete", "instanceof", "synchronized", "assert", "defer", "go", "range", "select", "alignof", "decltype", "static_assert", "new", "mut", "ref", "move", "loop", "unsafe", "async", "and", "or", "not"}
+NO_CALL = {"if", "for", "while", "match", "switch", "return", "catch", "when", "guard", "fn", "fun", "func", "function", "sizeof", "typeof", "in", "as", "let", "var", "val", "else", "do", "try", "await", "yield", "super", "this", "self", "where", "case", "throw", "delete", "instanceof", "synchronized", "defer", "alignof", "decltype", "static_assert", "mut", "loop", "unsafe", "async", "and", "or", "not"}
 
 
 @dataclass
