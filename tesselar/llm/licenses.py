@@ -67,20 +67,23 @@ def templates(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFrame:
 WINDOW_TYPE = "array<struct<c:int,s:int,start:int,w:array<string>>>"
 
 
-def _windows(w: Column, kinds: list[tuple[int, int]], bitmap: Column) -> Column:
+def _windows(w: Column, kinds: list[tuple[int, int]], bitmap: Column, hashes: dict[int, set[int]], firsts: dict[int, set[str]]) -> Column:
     """The windows of an array of words that hold a marked shingle, for each (c, s)."""
     none = F.array().cast(WINDOW_TYPE)
 
     def of(s: int) -> Column:
         def marked(i: Column) -> Column:
-            h = F.xxhash64(F.array_join(F.slice(w, i + 1, s), " ")).bitwiseAND(F.lit((1 << BITMAP_POWER) - 1))
+            h = F.xxhash64(F.slice(w, i + 1, s)).bitwiseAND(F.lit((1 << BITMAP_POWER) - 1))
             return F.getbit(bitmap[F.shiftright(h, 6).cast("int")], h.bitwiseAND(F.lit(63)).cast("int")) == 1
 
         def cut_out(places: Column) -> Column:
             return F.concat(*[_around(w, places, c, s) for c in sorted(c for c, t in kinds if t == s)])
 
-        # The marked places are bound by a lambda, and so found once for all size classes.
-        places = F.filter(F.sequence(F.lit(0), F.size(w) - s), marked)
+        def wanted(i: Column) -> Column:
+            return F.array_contains(F.array(*map(F.lit, sorted(hashes[s]))), F.xxhash64(F.slice(w, i + 1, s)))
+
+        # The marked places are bound by a lambda, and so found once for all size classes. Few pass the bitmap by chance.
+        places = F.filter(F.filter(F.sequence(F.lit(0), F.size(w) - s), marked), wanted)
         return F.when(F.size(w) >= s, F.transform(F.array(places), cut_out)[0]).otherwise(none)
 
     return F.concat(*[of(s) for s in sorted({s for _, s in kinds})])
@@ -96,13 +99,17 @@ def scan(df: DataFrame, texts: list[tuple[str, str]] = TEMPLATES, doc_id: str =
     """One row for each of df: doc_id, n_licenses (long), licenses (names, sorted, comma-joined), containment (the greatest; 0 if none)."""
     known = templates(df.sparkSession, texts)
     kinds = sorted((r["c"], r["s"]) for r in known.select("c", "s").distinct().collect())  # powers of two, and 1 to SHINGLE
-    hashes = known.select(F.explode("shingles").alias("x")).select(F.xxhash64("x").bitwiseAND((1 << BITMAP_POWER) - 1).alias("h"))
-    cells = hashes.select(F.expr("cast(h div 64 as int)").alias("cell"), F.expr("shiftleft(1L, cast(h % 64 as int))").alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("v"))
+    hashes: dict[int, set[int]] = {}
+    firsts: dict[int, set[str]] = {}
+    for r in known.select("s", F.explode("shingles").alias("x")).select("s", F.split("x", " ")[0].alias("first"), F.xxhash64(F.split("x", " ")).alias("h")).collect():  # the templates' shingles
+        hashes.setdefault(r["s"], set()).add(r["h"])
+        firsts.setdefault(r["s"], set()).add(r["first"])
     bits = [0] * (1 << BITMAP_POWER - 6)
-    for cell, v in cells.collect():  # as many cells as bits has, at most
-        bits[cell] = v
+    for h in {h & ((1 << BITMAP_POWER) - 1) for hs in hashes.values() for h in hs}:
+        bits[h >> 6] |= 1 << (h & 63)
+    bits = [b - (b >> 63 << 64) for b in bits]
     bitmap = F.expr(f"cast(split('{','.join(map(str, bits))}', ',') as array<bigint>)")
-    found = F.transform(F.array(words_of(F.col("text"))), lambda w: _windows(w, kinds, bitmap))[0] if kinds else F.array().cast(WINDOW_TYPE)
+    found = F.transform(F.array(words_of(F.col("text"))), lambda w: _windows(w, kinds, bitmap, hashes, firsts))[0] if kinds else F.array().cast(WINDOW_TYPE)
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).select(F.monotonically_increasing_id().alias("rid"), "doc_id", found.alias("v"))
     rows = common.stash(rows, "license-windows")
     wide = rows.where("size(v) > 0").select("rid", F.explode("v").alias("v")).select("rid", "v.*").where("size(w) >= s").withColumn("shingles", shingles(F.col("w"), F.col("s")))
