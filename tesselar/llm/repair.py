@@ -17,6 +17,9 @@ rows are alike. An empty table gives no blocks.
 
 from __future__ import annotations
 
+import os
+from array import array
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -29,8 +32,12 @@ END = 2
 BLOCK_IDS = 1 << 20
 LEAST_COUNT, MOST_RULES, ROUNDS = 24, 4096, 6  # a pair is frequent from so many times on; new rules in a round; rounds
 HASH_BITS = 18
-CACHE_WORDS = 400_000
-CACHED_CHARS = 48
+CACHE_WORDS = 400_000  # a cache is emptied beyond this many entries; results don't depend on it
+JOINED = 64  # new words that go to the library as one text
+CACHED_CHARS = 64
+#: Punctuation that a word can end with, and white space besides 0x20 and line feeds.
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+OTHER_SPACE = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 BLOCK_SCHEMA = "part int, block int, doc_ids array<bigint>, doc_ends array<bigint>, first_rule bigint, rules binary, lengths binary, sequence binary, n_tokens bigint"
 
@@ -38,44 +45,78 @@ BLOCK_SCHEMA = "part int, block int, doc_ids array<bigint>, doc_ends array<bigin
 class Encoder:
     """The library's ids, as bytes.
 
-    A single space between two visible characters starts a piece whatever stands around it, so a text's parts between
-    such spaces are encoded apart, and each different part once.
+    A single space between two visible characters starts a piece whatever stands around it, and so does punctuation
+    (but an apostrophe) after a letter or digit. Texts are cut there, and each different part is encoded once; new
+    parts go to the library together, and are told apart by the bytes that their ids stand for.
     """
 
     def __init__(self, model: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.cache: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.widths = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)  # a character of a token stands for a byte
+        self.widths[list(vocabulary.values())] = [len(t) for t in vocabulary]
+        self.words: dict[str, bytes] = {}  # ids of a word with a space before it
+        self.stems: dict[str, bytes] = {}  # the same, of a word without the punctuation after it
+        self.tails: dict[str, bytes] = {}  # ids of punctuation
 
     def ids(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def spaced(self, words: list[str]) -> list[bytes]:
+        """Ids of each word with a space before it."""
+        out: list[bytes] = []
+        groups = [words[k : k + JOINED] for k in range(0, len(words), JOINED)]
+        for group, raw in zip(groups, self.ids([" " + " ".join(g) for g in groups]), strict=True):
+            ends = np.cumsum(self.widths[np.frombuffer(raw, dtype="<u4")])
+            upto = np.cumsum([len(w.encode()) + 1 for w in group])
+            cuts = (4 * (np.searchsorted(ends, upto) + 1)).tolist()
+            out += [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+        return out
+
+    def learn(self, words: set[str]) -> None:
+        """Encodes new words: their stems, and what punctuation follows."""
+        cut = {}
+        for w in words:
+            stem = w.rstrip(PUNCTUATION)
+            cut[w] = stem if stem and stem[-1].isalnum() else w
+        stems = list({x for x in cut.values() if x not in self.stems})
+        self.stems.update(zip(stems, self.spaced(stems), strict=True))
+        tails = list({w[len(x) :] for w, x in cut.items()} - self.tails.keys() - {""})
+        self.tails.update(zip(tails, self.ids(tails), strict=True))
+        for w, x in cut.items():
+            self.words[w] = self.stems[x] if w == x else self.stems[x] + self.tails[w[len(x) :]]
+        for x in stems:
+            if len(x) > CACHED_CHARS:
+                del self.stems[x]
 
     @staticmethod
-    def parts(text: str) -> list[str]:
-        """The text, cut before single spaces between visible characters."""
-        words = text.split(" ")
-        if not (words[0] and not words[0][-1].isspace()) or any(not w or w[0].isspace() or w[-1].isspace() for w in words[1:]):
-            out, open_end = [words[0]], not words[0] or words[0][-1].isspace()
-            for w in words[1:]:
-                if open_end or not w or w[0].isspace():
-                    out[-1] += " " + w
-                else:
-                    out.append(" " + w)
-                open_end = not w or w[-1].isspace()
-            return [x for x in out if x]
-        return [words[0], *(" " + w for w in words[1:])]
+    def plain(text: str) -> bool:
+        """Whether all its spaces stand between visible characters, and line feeds are its only other white space."""
+        return not ("  " in text or " \n" in text or "\n " in text or text[-1:] == " " or any(c in text for c in OTHER_SPACE))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.parts(t) for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        new = list({p for parts in split for p in parts if p not in self.cache})
-        made = dict(zip(new, self.ids(new), strict=True))
-        self.cache.update((p, x) for p, x in made.items() if len(p) <= CACHED_CHARS)
-        known = self.cache | {p: x for p, x in made.items() if len(p) > CACHED_CHARS} if any(len(p) > CACHED_CHARS for p in made) else self.cache
-        return [b"".join(map(known.__getitem__, parts)) for parts in split]
+        out: list[bytes] = [b""] * len(texts)
+        split = {k: t.split(" ") for k, t in enumerate(texts) if self.plain(t)}
+        rest = [k for k in range(len(texts)) if k not in split]
+        get = self.words.get
+        found = {k: list(map(get, ws[1:])) for k, ws in split.items()}  # None: not known yet
+        gaps = {k: [i for i, x in enumerate(f) if x is None] for k, f in found.items() if None in f}
+        self.learn({split[k][i + 1] for k, at in gaps.items() for i in at})
+        for k, at in gaps.items():
+            for i in at:
+                found[k][i] = get(split[k][i + 1])
+        for (k, f), first in zip(found.items(), self.ids([ws[0] for ws in split.values()]), strict=True):
+            out[k] = first + b"".join(f)
+        for k, x in zip(rest, self.ids([texts[k] for k in rest]), strict=True):
+            out[k] = x
+        for cache in (self.words, self.stems, self.tails):
+            if len(cache) > CACHE_WORDS:
+                cache.clear()
+        return out
 
 
 def compress(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,24 +124,31 @@ def compress(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.nd
     seq = ids.astype(np.uint32)
     rules = np.zeros((0, 2), dtype=np.uint32)
     lengths = np.zeros(0, dtype=np.int64)
-    for _ in range(ROUNDS):
+    for k in range(ROUNDS):
         if len(seq) < 2:
             break
         a, b = seq[:-1], seq[1:]
-        bucket = (a * np.uint32(0x9E3779B1) ^ b * np.uint32(0x85EBCA77)) >> np.uint32(32 - HASH_BITS)
-        # A pair is as rare as its bucket, so only pairs of well-filled buckets are counted one by one.
+        bucket = ((a * np.uint32(0x9E3779B1 + 2 * k) ^ b * np.uint32(0x85EBCA77 + 2 * k)) * np.uint32(0x27D4EB2F) >> np.uint32(32 - HASH_BITS)).astype(np.int64)
+        # A pair is as rare as its bucket. Each well-filled bucket stands for one pair of its own, counted exactly;
+        # others in it have another bucket in the next round.
         at = np.flatnonzero(np.bincount(bucket, minlength=1 << HASH_BITS)[bucket] >= LEAST_COUNT)
+        bucket = bucket[at]
         keys = a[at].astype(np.uint64) << np.uint64(32) | b[at]
-        pairs, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
+        pair = np.zeros(1 << HASH_BITS, dtype=np.uint64)
+        pair[bucket] = keys
+        own = pair[bucket] == keys
+        at, bucket = at[own], bucket[own]
+        counts = np.bincount(bucket, minlength=1 << HASH_BITS)
         frequent = np.flatnonzero(counts >= LEAST_COUNT)
         if not len(frequent):
             break
         if len(frequent) > MOST_RULES:
             frequent = np.sort(frequent[np.argsort(-counts[frequent], kind="stable")[:MOST_RULES]])
-        rule = np.full(len(pairs), -1, dtype=np.int64)
+        rule = np.full(1 << HASH_BITS, -1, dtype=np.int64)
         rule[frequent] = np.arange(len(frequent))
-        chosen = rule[inverse]
+        chosen = rule[bucket]
         at, chosen = at[chosen >= 0], chosen[chosen >= 0]
+        pairs = pair
         # Of pairs that overlap every second one, from the left.
         runs = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1] + 1]))
         nth = np.arange(len(at)) - np.repeat(runs, np.diff(np.concatenate([runs, [len(at)]])))
@@ -129,7 +177,24 @@ def expand(seq: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first: int,
         return np.zeros(0, dtype=np.uint32)
     i, j = int(np.searchsorted(ends, begin, side="right")), int(np.searchsorted(ends, end, side="left")) + 1
     skipped = int(ends[i - 1]) if i else 0
-    out = seq[i:j]
+    # All rules' expansions, one after another, and before them the ids that stand for themselves.
+    flat = _flat(rules, first)
+    part = seq[i:j]
+    times = _lengths(part, first, lengths)
+    rule = part >= first
+    source = np.zeros(len(part), dtype=np.int64)
+    starts = np.cumsum(lengths) - lengths
+    source[rule] = starts[part[rule] - first]
+    source[~rule] = len(flat) + np.arange(int((~rule).sum()))
+    pool = np.concatenate([flat, part[~rule]])
+    at = np.cumsum(times) - times
+    out = pool[np.repeat(source - at, times) + np.arange(int(times.sum()))]
+    return out[begin - skipped : end - skipped]
+
+
+def _flat(rules: np.ndarray, first: int) -> np.ndarray:
+    """What the rules expand to, one after another: level by level."""
+    out = rules.ravel()
     while (rule := out >= first).any():
         times = 1 + rule.astype(np.int64)
         at = np.cumsum(times) - times
@@ -137,7 +202,7 @@ def expand(seq: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first: int,
         pairs = rules[out[rule] - first]
         wider[at[rule]], wider[at[rule] + 1] = pairs[:, 0], pairs[:, 1]
         out = wider
-    return out[begin - skipped : end - skipped]
+    return out
 
 
 _encoders: dict[int, Encoder] = {}
@@ -200,7 +265,9 @@ def read(blocks: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                row = {n: c[k] for n, c in zip(batch.schema.names, batch.columns, strict=True)}
+                row = {n: (memoryview(v.as_buffer()) if n in ("rules", "lengths", "sequence") else v.as_py()) for n, v in row.items()}
                 rules = np.frombuffer(row["rules"], dtype="<u4").reshape(-1, 2)
                 ids = expand(np.frombuffer(row["sequence"], dtype="<u4"), rules, np.frombuffer(row["lengths"], dtype="<u4").astype(np.int64), row["first_rule"])
                 ends = row["doc_ends"]
