@@ -229,7 +229,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     roots = common.cut(components(linked(rows), "u", "v"))
     least = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")).alias("least"))
     groups = common.cut(least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"))
-    heads = groups.groupBy("root").agg(F.min("least").alias("head"))
+    heads = common.cut(groups.groupBy("root").agg(F.min("least").alias("head")))  # else a large group's rows couldn't be split in the join
     by_fp = groups.join(heads, "root").select("fp", F.col("head.doc_id").alias("component_id"), F.col("head.key").alias("head_key"))
     return rows.join(by_fp, "fp", "left").select("doc_id", "key", "fp", "component_id", (F.col("key") == F.col("head_key")).alias("first"))
 
