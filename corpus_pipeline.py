@@ -36,7 +36,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.decode(bpe.encode(docs, path), path).drop("text")
+    return bpe.decode(bpe.encode(docs, path).drop("text"), path)
 
 
 STAGES = [("quality rules", good), ("SimHash near-dedup", distinct), ("benchmark decontamination", clean), ("secret scans", safe), ("byte-level BPE", tokens)]
