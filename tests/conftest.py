@@ -9,10 +9,6 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 
-SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-
-
 @pytest.fixture(scope="session")
 def spark():
     s = (
@@ -31,24 +27,9 @@ def spark():
 
 @pytest.fixture(scope="session")
 def duck():
+    from support import SF, TABLES
+
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     return con
-
-
-def plain(value):
-    if isinstance(value, float):
-        return None if value != value else round(value, 6)
-    return value
-
-
-def same_rows(df, con, sql):
-    """The rows of a DataFrame and of a SQL text, as sorted lists."""
-    q = con.execute(sql)
-    names = [d[0] for d in q.description]
-    assert sorted(names) == sorted(df.columns)
-    order = sorted(names)
-    theirs = sorted(repr(tuple(plain(r[names.index(c)]) for c in order)) for r in q.fetchall())
-    ours = sorted(repr(tuple(plain(r[c]) for c in order)) for r in df.collect())
-    return ours, theirs

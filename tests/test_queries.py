@@ -1,7 +1,7 @@
 """Every query against its SQL, on the smallest tables."""
 
 import pytest
-from conftest import SF, same_rows
+from support import SF, same_rows
 
 from tesselar.catalog import ORACLES, QUERIES, flagship
 
