@@ -19,5 +19,6 @@ QUERIES = {
 ORACLES = {
     "op2_quality": quality.OP2_SQL,
     "op7_licenses": licenses.OP7_SQL,
+    "op9_secrets": secrets.OP9_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,
 }

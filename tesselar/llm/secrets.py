@@ -212,3 +212,24 @@ def redact(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: st
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every document."""
     return scan(common.documents(spark, sf_dir))
+
+
+def _sql() -> str:
+    """The same by regular expressions alone: a match begins where what stands before it, and earlier matches, end."""
+    found = " UNION ALL ".join(
+        "SELECT doc_id, {0} AS rank, '{1}' AS kind, {2} AS least, regexp_extract_all(t, '{3}', 0) AS m, regexp_extract_all(t, '{3}', {4}) AS v, string_split_regex(t, '{3}') AS s FROM d WHERE regexp_matches(t, '{3}')".format(k, r.kind, r.least, r.pattern.replace("'", "''"), r.group) for k, r in enumerate(RULES)
+    )
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{r.kind}') AS n_{r.kind}" for r in BASE)
+    zeros = ", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+r AS ({found}),
+x AS (SELECT doc_id, rank, kind, least, m, v, s, unnest(range(1, len(m) + 1)) AS k FROM r),
+y AS (SELECT doc_id, rank, kind, (list_sum([length(z) for z in s[1:k]]) + coalesce(list_sum([length(z) for z in m[1:k - 1]]), 0))::BIGINT AS a, length(m[k]) AS n FROM x WHERE length(v[k]) >= least),
+z AS (SELECT doc_id, rank, kind, a, kind || ':' || a || ':' || (a + n) AS said FROM y),
+g AS (SELECT doc_id, {counts}, string_agg(said, ',' ORDER BY a, rank) FILTER (WHERE rank < {len(BASE)}) AS base, string_agg(said, ',' ORDER BY a, rank) AS spans FROM z GROUP BY doc_id)
+SELECT doc_id, {zeros}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
+OP9_SQL = _sql()

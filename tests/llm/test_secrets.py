@@ -2,7 +2,7 @@ import hashlib
 import re
 
 import pytest
-from support import SF
+from support import SF, same_rows
 from pyspark.sql import functions as F
 
 from tesselar.llm import secrets
@@ -47,6 +47,8 @@ def test_query(spark, duck):
     docs = dict(duck.execute("SELECT doc_id, text FROM documents").fetchall())
     assert len(rows) == len(docs)
     check(rows, docs)
+    ours, theirs = same_rows(secrets.op9_secrets(spark, SF), duck, secrets.OP9_SQL)
+    assert ours == theirs
 
 
 @pytest.mark.parametrize("rule", secrets.RULES, ids=lambda r: r.kind)
