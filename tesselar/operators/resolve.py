@@ -104,6 +104,21 @@ def heritage(refs: DataFrame, graph: PropertyGraph) -> DataFrame:
     return edges.withColumn("kind", F.col("k")).withColumn("rel", F.concat_ws("_", "k", "from_label", "to_label")).drop("k")
 
 
+def derives(refs: DataFrame, graph: PropertyGraph, language: str = "rust") -> tuple[DataFrame, DataFrame]:
+    """Implements edges from types to the library's traits that they derive, and these StdlibSymbol nodes."""
+    known = symbols(graph).where(F.col("label").isin("Struct", "Enum")).select(F.col("qualified_name").alias("from_qualified_name"), "id", "label")
+    met = refs.where(F.col("kind") == "DeriveImplements").join(known, "from_qualified_name")
+    target = F.concat(F.lit(f"stdlib::{language}::derive::"), F.col("to_qualified_name"))
+    edges = met.select(*_edge("Implements", F.col("label"), F.col("id"), F.lit("StdlibSymbol"), target, F.lit(0.85), "macro-expansion", 6))
+    nodes = met.select("to_qualified_name").distinct().select(target.alias("id"), F.lit("StdlibSymbol").alias("label"), F.col("to_qualified_name").alias("name"), F.lit(language).alias("language"), F.col("to_qualified_name").alias("canonical_path"))
+    return edges, nodes
+
+
+def library_calls(sites: DataFrame, entries: DataFrame) -> DataFrame:
+    """sites (language, receiver_type, method and others) with the library's canonical_path. entries: the library's index, (language, receiver_type, method, canonical_path), a parameter."""
+    return sites.join(entries, ["language", "receiver_type", "method"])
+
+
 def field_uses(graph: PropertyGraph) -> DataFrame:
     """Fields and the types that their annotations name: of several types of a name the first by label and name."""
     fields = graph.scan("Field").select("id", F.explode(text.type_identifiers(F.col("type_annotation"))).alias("type"))
@@ -159,7 +174,9 @@ def run(graph: PropertyGraph, language: str = "rust", refs: DataFrame | None = N
     by_macro, nodes = macros(graph, language)
     parts = [imported.drop("import"), called.drop("site"), implements(graph), field_uses(graph), by_macro]
     if refs is not None:
-        parts.append(heritage(refs, graph))
+        derived, traits = derives(refs, graph, language)
+        parts += [heritage(refs, graph), derived]
+        nodes = nodes.unionByName(traits)
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)

@@ -80,6 +80,11 @@ def call(spark: SparkSession, name: str, arguments: dict[str, Any] | None = None
         return {"status": "error", "stage": t.stage, "reason": "limit_exceeded", "message": str(e)}
 
 
+def describe() -> list[dict[str, Any]]:
+    """Each tool's name and arguments."""
+    return [{"name": n, "inputSchema": {"type": "object", "properties": {a: {} for a in t.required + t.optional}, "required": list(t.required), "additionalProperties": False}} for n, t in TOOLS.items()]
+
+
 def _now() -> str:
     return datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 

@@ -99,6 +99,7 @@ def test_index_and_resolve(spark):
     assert ("Calls_Function_StdlibSymbol", "src/main.rs::main", "stdlib::rust::std::io::_print") in got
     assert ("Imports_File_Struct", "src/main.rs", "src/models.rs::Config") in got
     assert ("Implements_Struct_Trait", "src/models.rs::Config", "src/models.rs::Processor") in got
+    assert ("Implements_Struct_StdlibSymbol", "src/models.rs::Config", "stdlib::rust::derive::Debug") in got
     again, _, _ = resolve.run(done, "rust", refs)
     assert again.edges.count() == done.edges.count()
     assert {r["reason"] for r in missing.collect()} == {"external crate"}
@@ -172,3 +173,29 @@ def test_graph_tools(spark, tmp_path):
     gates = call("check_security_gates", graph_path=at, changed_symbols=["src/models.rs::helper"])
     assert gates["gates_passed"] and gates["summary"]["info"] == 1
     assert os.path.isdir(f"{at}/search/postings")
+
+
+def test_lines_of_requests(capsys):
+    import io
+
+    from tesselar import server
+
+    lines = [{"id": 1, "method": "initialize"}, {"method": "notifications/initialized"}, {"id": 2, "method": "tools/list"}, {"id": 3, "method": "tools/call", "params": {"name": "health_check"}}, {"id": 4, "method": "tools/call", "params": {"name": "x"}}, {"id": 5, "method": "x"}]
+    sink = io.StringIO()
+    server.serve(None, io.StringIO("not json\n[1]\n" + "\n".join(map(json.dumps, lines))), sink)
+    got = [json.loads(x) for x in sink.getvalue().splitlines()]
+    assert [r["id"] for r in got] == [1, 2, 3, 4, 5] and len(got[1]["result"]["tools"]) == 23
+    assert not got[2]["result"]["isError"] and got[3]["result"]["isError"] and got[4]["error"]["code"] == -32601
+
+
+def test_corpora(spark, tmp_path):
+    from tesselar.sources import corpora
+
+    (tmp_path / "corpus.toml").write_text('[corpus]\nid = "c"\nlanguage = "rust"\n')
+    truth = {"corpus": "c", "version": 1, "labels": [{"query_id": "q1", "input": {"a": 1}, "expected": {"b": []}}]}
+    (tmp_path / "ground_truth.json").write_text(json.dumps(truth))
+    assert corpora.labels(spark, [corpora.load(str(tmp_path))]).first()["query_id"] == "q1"
+    for bad in (truth | {"corpus": "d"}, truth | {"labels": [{"query_id": "q99"}]}):
+        (tmp_path / "ground_truth.json").write_text(json.dumps(bad))
+        with pytest.raises(ValueError):
+            corpora.load(str(tmp_path))
