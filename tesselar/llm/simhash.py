@@ -35,27 +35,35 @@ BATCH_ROWS = 1 << 16  # a task compares about so many rows at once
 UNITS = 1 << 16
 
 
-def fingerprint(text: str) -> int:
-    """The 64 bits: each is 1 if set in over half the hashes of the text's shingles."""
+def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    """The hashes of the text's shingles, in their order; a text of fewer words is one shingle, one of none has none."""
     words = text.encode().lower().split()  # bytes: A-Z only; at 0x20 and 0x09-0x0D only
     n = len(words)
     if not n:
-        return 0
+        return np.zeros(0, dtype="<u8")
     joined = b" ".join(words)
-    if n <= SHINGLE:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=n) + 1)
-        starts = np.concatenate([[0], ends[: n - SHINGLE]])
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), (ends[SHINGLE - 1 :] - 1).tolist(), strict=True)]
-    bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    if n <= shingle:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype="<u8")
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=n) + 1)
+    starts = np.concatenate([[0], ends[: n - shingle]])
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)], dtype="<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits: each is 1 if set in over half the hashes."""
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     counts = np.zeros(64, dtype=np.int64)
     for k in range(0, len(bits), 255):  # sums of up to 255 bits fit a byte
         counts += bits[k : k + 255].sum(axis=0, dtype=np.uint8)
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str) -> int:
+    """The 64 bits: each is 1 if set in over half the hashes of the text's shingles."""
+    return majority(shingle_hashes(text))
+
+
 def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fp") -> DataFrame:
     """df with its texts' fingerprints as (signed) longs."""
 
@@ -175,68 +183,91 @@ def stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return root
 
 
-def _compare(batches):
-    """From rows (t, k, i, j, fp), a bucket's together, to stars (u, v) of linked fingerprints."""
-
-    def done(cols: list[np.ndarray]):
-        keys, fps = np.stack(cols[:-1]), cols[-1].view(np.uint64)
-        groups = np.cumsum(np.concatenate([[0], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
-        a, b = close(fps, groups)
-        root = stars(len(fps), a, b)
-        linked = np.flatnonzero(root != np.arange(len(fps)))
-        u, v = fps[linked].view(np.int64), fps[root[linked]].view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
+def whole_buckets(batches, keys: int, most: int):
+    """Rows as columns of longs, in lots of about most rows; rows that agree in the first columns, keys of them, stay together."""
     held: list[np.ndarray] | None = None
     for batch in batches:
         cols = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
         held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
-        while len(held[0]) >= BATCH_ROWS:
-            same = np.logical_and.reduce([c == c[-1] for c in held[:-1]])
+        while len(held[0]) >= most:
+            same = np.logical_and.reduce([c == c[-1] for c in held[:keys]])
             last = int(len(same) - np.argmin(same[::-1])) if not same.all() else 0  # of the bucket that may go on
             if not last:
                 break
-            yield done([c[:last] for c in held])
+            yield [c[:last] for c in held]
             held = [c[last:] for c in held]
     if held is not None and len(held[0]):
-        yield done(held)
+        yield held
 
 
-def linked(fps: DataFrame, fp: str = "fp") -> DataFrame:
-    """u, v: links between distinct fingerprints that together connect all that are linked, directly or through others."""
-    distinct = common.cut(fps.where(F.col(fp).isNotNull()).select(F.col(fp).alias("fp")).distinct())
-    blocks, choose = scheme(distinct.count())
-    rows = distinct.select("fp", F.explode(bucket_keys(F.col("fp"), blocks, choose)).alias("b")).select("b.t", "b.k", "fp")
+def numbered(keys: list[np.ndarray]) -> np.ndarray:
+    """A number for each row's bucket; rows of one bucket stand together."""
+    stacked = np.stack(keys)
+    return np.cumsum(np.concatenate([[0], (stacked[:, 1:] != stacked[:, :-1]).any(axis=0)]))
+
+
+def _compare(batches):
+    """From rows (t, k, i, j, fp), a bucket's together, to stars (u, v) of linked fingerprints."""
+    for cols in whole_buckets(batches, 4, BATCH_ROWS):
+        fps = cols[-1].view(np.uint64)
+        a, b = close(fps, numbered(cols[:-1]))
+        root = stars(len(fps), a, b)
+        linked = np.flatnonzero(root != np.arange(len(fps)))
+        u, v = fps[linked].view(np.int64), fps[root[linked]].view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+
+def dealt(rows: DataFrame, by: str) -> DataFrame:
+    """rows (t, k and others) with i, j: each bucket has 0, 0; one beyond HOT rows is dealt out as pairs of its parts, by the column named."""
+    rest = [c for c in rows.columns if c not in ("t", "k")]
     hot = common.cut(rows.groupBy("t", "k").agg(F.count("*").alias("n")).where(F.col("n") > HOT))
     n_hot = hot.count()
-    plain = rows.select("t", "k", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp")
+    plain = rows.select("t", "k", F.lit(0).alias("i"), F.lit(0).alias("j"), *rest)
     if n_hot:
         # Under a bound of 100,000 hot buckets they are sent to all tasks; beyond it both sides are shuffled.
         side = F.broadcast(hot) if n_hot <= 100_000 else hot
         parts = F.ceil(F.col("n") / PART).cast("int")
-        own = F.pmod(F.xxhash64("fp"), parts).cast("int")
+        own = F.pmod(F.xxhash64(by), parts).cast("int")
         met = F.transform(F.sequence(F.lit(0), parts - 1), lambda x: F.struct(F.least(own, x).alias("i"), F.greatest(own, x).alias("j")))
         marked = rows.join(side, ["t", "k"], "left")
-        plain = marked.where("n is null").select("t", "k", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp").unionByName(marked.where("n is not null").select("t", "k", "fp", F.explode(met).alias("p")).select("t", "k", "p.i", "p.j", "fp"))
+        plain = marked.where("n is null").select("t", "k", F.lit(0).alias("i"), F.lit(0).alias("j"), *rest).unionByName(marked.where("n is not null").select("t", "k", *rest, F.explode(met).alias("p")).select("t", "k", "p.i", "p.j", *rest))
+    return plain
+
+
+def linked(fps: DataFrame, fp: str = "fp") -> DataFrame:
+    """u, v: links between distinct fingerprints that together connect all that are linked, directly or through others."""
+    distinct = common.cut(fps.where(F.col(fp).isNotNull()).select(F.col(fp).alias("fp")).distinct())
+    blocks, choose = scheme(distinct.count())
+    rows = distinct.select("fp", F.explode(bucket_keys(F.col("fp"), blocks, choose)).alias("b")).select("b.t", "b.k", "fp")
     keys = ["t", "k", "i", "j"]
-    return plain.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compare, "u long, v long")
+    return dealt(rows, "fp").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compare, "u long, v long")
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each of df: doc_id, key (its row's, by id and text), fp (long), component_id (the least id of the component) and first (whether its key is the one that a component keeps)."""
     slim = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("key", common.row_key("doc_id", "text"))
     rows = common.stash(with_fingerprint(slim).drop("text"), "fingerprints")
-    roots = common.cut(components(linked(rows), "u", "v"))
-    least = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")).alias("least"))
-    groups = common.cut(least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"))
+    return grouped(rows, components(linked(rows), "u", "v"), "fp")
+
+
+def grouped(rows: DataFrame, roots: DataFrame, by: str) -> DataFrame:
+    """doc_id, key, by, component_id and first for rows (doc_id, key and by); roots: node, root for the values of by that are linked."""
+    roots = common.cut(roots)
+    least = rows.groupBy(by).agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")).alias("least"))
+    groups = common.cut(least.join(roots.withColumnRenamed("node", by), by, "left").select(by, F.coalesce("root", by).alias("root"), "least"))
     heads = common.cut(groups.groupBy("root").agg(F.min("least").alias("head")))  # else a large group's rows couldn't be split in the join
-    by_fp = groups.join(heads, "root").select("fp", F.col("head.doc_id").alias("component_id"), F.col("head.key").alias("head_key"))
-    return rows.join(by_fp, "fp", "left").select("doc_id", "key", "fp", "component_id", (F.col("key") == F.col("head_key")).alias("first"))
+    of = groups.join(heads, "root").select(by, F.col("head.doc_id").alias("component_id"), F.col("head.key").alias("head_key"))
+    return rows.join(of, by, "left").select("doc_id", "key", by, "component_id", (F.col("key") == F.col("head_key")).alias("first"))
 
 
 def keep_first(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """df with one row of each group of near-duplicates: that of the least id (rows without id come last), and one of equal rows."""
-    firsts = near_duplicates(df, doc_id, text).where("first").select(F.col("key").alias("_key")).distinct()
+    return only_first(df, near_duplicates(df, doc_id, text), doc_id, text)
+
+
+def only_first(df: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """df with the rows of which the key is first in found (key, first), and one of equal rows."""
+    firsts = found.where("first").select(F.col("key").alias("_key")).distinct()
     kept = df.withColumn("_key", common.row_key(doc_id, text)).join(firsts, "_key", "left_semi")
     once = kept.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
     return once.where("_nth = 1").select(df.columns)
