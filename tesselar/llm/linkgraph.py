@@ -3,8 +3,12 @@
 Hosts are nodes; a page's links to other hosts are edges, weighted by the pages that have them. Allowing and blocking
 rules make seeds: the share of a host's pages that they allow or block. Personalised PageRank carries trust from the
 allowed along links, and distrust from the blocked against them (who links to blocked hosts is distrusted). Both run
-in one loop of joins and aggregations until nothing moves by more than TOLERANCE. A host of which the distrust exceeds
-the trust by more than MARGIN is blocked, and so are its pages that no rule fits.
+in one loop of joins and aggregations until nothing moves by more than TOLERANCE.
+
+What flows is split among a host's links, so scores shrink with their number; they are therefore taken relative to what
+the same links carry if every host is a whole seed. A host's level of distrust is its own share, and for the rest the
+mean of the relative distrust of the hosts that it links to; of trust, that of the hosts that link to it. A host of
+which the distrust exceeds the trust by more than MARGIN is blocked, and so are its pages that no rule fits.
 
 Urls that are null or have no `://` have an empty host and path, fit no rule, are in no graph and are allowed. Null
 html has no links. Repeated rows each get a row, and count as pages of their host. Other columns don't matter.
@@ -67,6 +71,26 @@ def propagate(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     return score.groupBy(F.col("a").alias("host")).agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("s"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")])
 
 
+def levels(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """host, trust, distrust, from 0 to 1, of every host. seeds and edges as for propagate()."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("host")).select("host", F.lit(0.0).alias("allowed"), F.lit(0.0).alias("blocked"))
+    every = common.cut(seeds.select("host", "allowed", "blocked").unionByName(ends).groupBy("host").agg(F.max("allowed").alias("allowed"), F.max("blocked").alias("blocked")))
+    score = propagate(seeds, edges).select("host", F.col("trust").alias("s_allowed"), F.col("distrust").alias("s_blocked"))
+    most = propagate(every.select("host", F.lit(1.0).alias("allowed"), F.lit(1.0).alias("blocked")), edges).select("host", F.col("trust").alias("m_allowed"), F.col("distrust").alias("m_blocked"))
+
+    def relative(own: str) -> Column:
+        got, could = F.coalesce(f"s_{own}", F.lit(0.0)) - (1 - DAMPING) * F.col(own), F.col(f"m_{own}") - (1 - DAMPING)
+        share = F.when(could > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), got / could))).otherwise(0.0)
+        return F.col(own) + (1 - F.col(own)) * share
+
+    known = common.cut(every.join(score, "host", "left").join(most, "host", "left").select("host", "allowed", "blocked", relative("allowed").alias("r_allowed"), relative("blocked").alias("r_blocked")))
+    mean = lambda c: F.sum(F.col("n") * F.col(c)) / F.sum("n")
+    ahead = edges.join(known.withColumnRenamed("host", "dst"), "dst").groupBy(F.col("src").alias("host")).agg(mean("r_blocked").alias("l_blocked"))
+    back = edges.join(known.withColumnRenamed("host", "src"), "src").groupBy(F.col("dst").alias("host")).agg(mean("r_allowed").alias("l_allowed"))
+    level = lambda own: F.col(own) + (1 - F.col(own)) * F.coalesce(f"l_{own}", F.lit(0.0))
+    return known.join(ahead, "host", "left").join(back, "host", "left").select("host", level("allowed").alias("trust"), level("blocked").alias("distrust"))
+
+
 def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", rules: list[tuple[str, str]] = RULES) -> DataFrame:
     """One row for each of pages: page_id, host, path, rule, verdict (allow or block)."""
     host, path = host_path(F.col(url))
@@ -74,7 +98,7 @@ def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: st
     ruled = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path")).select("*", rule.alias("rule"), verdict.alias("ruled"))
     share = lambda action: F.avg((F.coalesce("ruled", F.lit("")) == action).cast("double"))
     seeds = ruled.where("host <> ''").groupBy("host").agg(share("allow").alias("allowed"), share("block").alias("blocked"))
-    bad = common.cut(propagate(seeds, common.cut(host_edges(pages, url, html))).where(F.col("distrust") - F.col("trust") > MARGIN * (1 - DAMPING)).select("host", F.lit(True).alias("bad")))
+    bad = common.cut(levels(common.cut(seeds), common.cut(host_edges(pages, url, html))).where(F.col("distrust") - F.col("trust") > MARGIN).select("host", F.lit(True).alias("bad")))
     # Beyond the bound both sides are shuffled, and a host with very many pages is split.
     side = F.broadcast(bad) if bad.count() <= BROADCAST_HOSTS else bad
     return ruled.join(side, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("bad"), F.lit("block")).otherwise("allow")).alias("verdict"))

@@ -77,3 +77,15 @@ def test_hard_rows(spark):
     assert lg.judge(spark.createDataFrame([], schema)).count() == 0
     rows = [(None, None, None, 1, "x"), (1, "a://b", "<a href=//>" * 3, 1, "x"), (1, "a://b", "<a href=//>" * 3, 1, "x"), (2, "http://x/" + "y" * 50000, "<a href='//z.com'>" * 5000, None, None)]
     assert lg.judge(spark.createDataFrame(rows, schema)).count() == 4
+
+
+@pytest.mark.parametrize("linkers", [1, 2, 40])
+def test_blocked_through_links_only(spark, linkers):
+    """Hosts that mostly link to a wholly blocked host are blocked, however many they are; those that hardly do, or that allowed hosts link to, aren't."""
+    html = lambda *hosts: "".join(f"<a href='//{h}/'>x</a>" for h in hosts)
+    pages = [(0, "http://bad.com/en/1", None), (1, "http://good.net/de/1", html("praised.net"))]
+    pages += [(10 + i, f"http://farm{i}.net/x", html("bad.com")) for i in range(linkers)]
+    pages += [(100, "http://mixed.net/x", html("bad.com", "a.net", "b.net", "c.net")), (101, "http://praised.net/x", html("bad.com")), (102, "http://quiet.net/x", html("a.net"))]
+    pages += [(200 + i, "http://busy.net/x", html("bad.com", "obscure.net") if i == 0 else html("bad.com")) for i in range(4)]
+    got = {r["page_id"]: r["verdict"] for r in lg.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert {k for k, v in got.items() if v == "block"} == {0, *range(10, 10 + linkers), *range(200, 204)}
