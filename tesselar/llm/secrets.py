@@ -51,6 +51,14 @@ MORE = [
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 ]
 RULES = BASE + MORE
+#: What redact() takes out for a private key: up to the matching END line; if there is none before another BEGIN, the
+#: headers and base64 lines that follow. Hyphens in the body are counted, since Java's loops over groups use the stack.
+KEY_BLOCK = (
+    r"-----BEGIN ([A-Z0-9 ]{0,20}PRIVATE KEY(?: BLOCK)?)-----"
+    r"(?:[^-]*(?:-(?!----(?:BEGIN|END) )[^-]*){0,200}-----END \1-----"
+    r"|(?:(?:\s|\\[rn])*[A-Za-z-]{1,30}: [^\r\n\\]*){0,8}(?:\r?\n[A-Za-z0-9+/=\r\n]+(?![^\r\n]))?(?:(?:\s|\\[rn]|>){0,40}[A-Za-z0-9+/]{40,}={0,2}){0,400}(?:(?:\s|\\[rn]|>){1,40}(?:[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9+/]{1,39}={1,2}|=[A-Za-z0-9+/]{4}(?![A-Za-z0-9+/]))){0,2})"
+)
+REDACTED = [Rule("pem", KEY_BLOCK) if r.kind == "pem" else r for r in RULES]
 PLACEHOLDER = "[REDACTED]"
 BROADCAST_KEYS = 500_000
 MOST_STRINGS, MOST_CLAUSES = 16, 64
@@ -193,8 +201,11 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def redact(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: str | None = None) -> DataFrame:
-    """df with every span in the texts replaced by PLACEHOLDER, overlapping ones by one; length: a column with the texts' code points, set anew."""
-    found = with_spans(df, text, doc_id)
+    """df with every span in the texts replaced by PLACEHOLDER, overlapping ones by one; length: a column with the texts' code points, set anew.
+
+    A private key goes with its body (KEY_BLOCK); scan() reports its header only, as its SQL does.
+    """
+    found = with_spans(df, text, doc_id, REDACTED)
 
     def add(acc: Column, x: Column) -> Column:
         fresh = F.concat(acc["out"], F.substring(F.col(text), acc["at"].cast("int") + 1, (x["start"] - acc["at"]).cast("int")), F.lit(PLACEHOLDER))

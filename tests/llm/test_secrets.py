@@ -81,3 +81,24 @@ def test_redact(spark, nasty, empty):
     assert got.columns == nasty.columns and got.count() == nasty.count()
     assert secrets.scan(nasty.withColumn("spans", F.lit(1))).count() == nasty.count()
     assert secrets.redact(empty).count() == 0 and secrets.scan(empty).count() == 0
+
+
+BODY = ["MIIEowIBAAKCAQEA" + "aB3+/x9Z" * 6, "Qx7" + "kL0pT4mN" * 7 + "abcde", "zZ81kfQ+/abc9w=="]
+HEADERS = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,5F0A\n\n"
+
+
+def key(name="RSA PRIVATE KEY", end=True, sep="\n", headers=""):
+    return f"-----BEGIN {name}-----{sep}{headers}" + sep.join(BODY) + (f"{sep}-----END {name}-----" if end else "")
+
+
+@pytest.mark.parametrize(
+    "block",
+    [key(), key("PRIVATE KEY", sep="\r\n"), key("PGP PRIVATE KEY BLOCK", headers="Version: x-1.0\n\n"), key(headers=HEADERS), key(sep="\\n"), key(sep="\n    "), key(sep=" ")]
+    + [key(end=False), key("PGP PRIVATE KEY BLOCK", end=False), key(end=False, headers=HEADERS), key(end=False, sep="\\n"), key(end=False, sep="\n    "), key(end=False) + "\n" + "\n".join(["Ab3/" * 16] * 3000)],
+)
+def test_no_line_of_a_private_key_stays(spark, block):
+    docs = [(0, f"before {block}\nafter it, more"), (1, f"one {key(end=False)}\nkept between, x\n{block}\nthe end.")]
+    for r in secrets.redact(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        assert not any(b in r["text"] for b in BODY) and "Ab3/" not in r["text"] and "BEGIN" not in r["text"]
+        assert r["text"].startswith("before " if r["doc_id"] == 0 else "one ") and r["text"].endswith("after it, more" if r["doc_id"] == 0 else "the end.")
+        assert r["doc_id"] == 0 or "kept between, x" in r["text"]
