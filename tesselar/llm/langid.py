@@ -17,14 +17,14 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tesselar.llm import common
 
 SAMPLE_ROWS = 1500  # the most labelled documents that the trigrams are fitted on
-MOST_LANGUAGES = 64
+MOST_LABELS = 512  # beyond so many fit() fails, rather than drop some
 BUCKETS = 1 << 15
 TEXT_WEIGHT = 60  # a text counts as so many trigrams at most: neighbours aren't independent
 SMOOTH, HOST_WEIGHT, DOMAIN_WEIGHT = 0.5, 8.0, 20.0
@@ -44,14 +44,26 @@ def buckets(text: str) -> np.ndarray:
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> tuple[list[str], np.ndarray]:
     """The languages, and the log probabilities of buckets by language.
 
-    The sample is of SAMPLE_ROWS rows at most: all, if there are no more, else about four fifths as many, those of which
-    the key's hash is under a threshold. No task ranks the rows. A language needs a row in the sample.
+    The languages are all labels of rows whose texts have a letter. The sample is of SAMPLE_ROWS rows at most: all, if
+    there are no more, else SAMPLE_ROWS are shared out evenly by label, and what rare labels leave goes to the others. Of
+    each label those rows with the least hashes are taken; only rows with a hash under a threshold are ranked.
     """
-    known = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    n = known.count()
-    share = 1.0 if n <= SAMPLE_ROWS else 0.8 * SAMPLE_ROWS / n
-    picked = F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(1 << 40)) < int(share * (1 << 40))
-    sample = known.where(picked).select(F.col(text).alias("text"), F.col(lang).alias("lang")).limit(SAMPLE_ROWS)
+    known = labelled.where(F.col(text).rlike(r"\p{L}") & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(key), F.col(text), F.lit(7)).alias("hash"))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy("n", "lang").limit(MOST_LABELS + 1).collect()
+    if len(sizes) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} languages among the labels")
+    if not sizes:
+        return ["und"], np.zeros((1, BUCKETS))
+    left, asked = SAMPLE_ROWS, []
+    for i, r in enumerate(sizes):
+        quota = min(r["n"], left // (len(sizes) - i))
+        left -= quota
+        share = 1.0 if quota == r["n"] else min(1.0, (4 * quota + 40) / r["n"])  # four times as many and 40 more, so that enough are under it
+        asked.append((r["lang"], quota, int(share * (1 << 40))))
+    side = F.broadcast(labelled.sparkSession.createDataFrame(asked, "lang string, quota int, under long"))
+    under = known.join(side, "lang").where(F.pmod("hash", F.lit(1 << 40)) < F.col("under"))
+    ranked = under.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("hash", F.lit(1 << 40)), "hash")))
+    sample = ranked.where("nth <= quota").select("text", "lang")
 
     def count(batches):
         for batch in batches:
@@ -60,13 +72,13 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(where), pa.string()), pa.array(where.astype(np.int32)), pa.array(n.astype(np.int64))], names=["lang", "bucket", "n"])
 
     counts = sample.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()  # of a bounded sample
-    languages = sorted({r["lang"] for r in counts})[:MOST_LANGUAGES]
-    if not languages:
-        return ["und"], np.zeros((1, BUCKETS))
+    place = {name: i for i, name in enumerate(sorted(r["lang"] for r in sizes))}
+    if missing := place.keys() - {r["lang"] for r in counts}:  # a label of many equal rows
+        raise ValueError(f"no row of {sorted(missing)} in the sample")
+    languages = list(place)
     table = np.full((len(languages), BUCKETS), SMOOTH)
     for r in counts:
-        if r["lang"] in languages:
-            table[languages.index(r["lang"]), r["bucket"]] += r["n"]
+        table[place[r["lang"]], r["bucket"]] += r["n"]
     return languages, np.log(table / table.sum(axis=1, keepdims=True))
 
 

@@ -67,3 +67,19 @@ def test_hard_rows(spark, model, nasty, empty):
     pages = spark.createDataFrame([(1, None, None), (None, "nothing", "<html lang='DE-at'>"), (2, "http://u@h.co.uk:80/x", "<html lang=fr><p>")], "page_id long, url string, html string")
     got = {r["page_id"]: r for r in langid.pages_rows(pages).collect()}
     assert got[None]["declared"] == "de" and got[2]["declared"] == "fr" and (got[2]["host"], got[2]["domain"], got[2]["suffix"]) == ("h.co.uk", "co.uk", "uk") and got[1]["host"] == ""
+
+
+def test_no_label_is_lost(spark):
+    """Seventy labels, and one of 0.1 per cent of the rows, in a table of more rows than the sample has."""
+    word = lambda i: "".join(chr(97 + (i * 7 + k * k) % 26) for k in range(6)) + chr(97 + i % 26) + chr(97 + i // 26)
+    rows = [(n, f"{word(n % 70)} {word(n % 70)}", f"l{n % 70:02}") for n in range(7000)] + [(7000 + n, "цвет дом река", "zz") for n in range(7)]
+    languages, log = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert languages == [f"l{i:02}" for i in range(70)] + ["zz"] and log.shape == (71, langid.BUCKETS)
+    assert int(log[:, langid.buckets("река дом цвет")].sum(axis=1).argmax()) == 70
+    assert [int(log[:, langid.buckets(word(i))].sum(axis=1).argmax()) for i in range(70)] == list(range(70))
+
+
+def test_too_many_labels_fail(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LABELS", 2)
+    with pytest.raises(ValueError, match="more than 2"):
+        langid.fit(spark.createDataFrame([(n, "ab", f"l{n}") for n in range(3)], "doc_id long, text string, lang string"))
