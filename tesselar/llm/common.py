@@ -5,19 +5,26 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Used only where the session names no shared folder, as in tests.
+#: Used only by a local session that names no shared folder, as in tests.
 LOCAL_SCRATCH = "/tmp/checkpoints"
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of the cluster, from spark.checkpoint.dir; registered as Spark's checkpoint folder."""
+    """The shared folder of the cluster, from spark.checkpoint.dir; registered as Spark's checkpoint folder.
+
+    A session on a cluster must name it: a folder of one machine would be lost with it, and others couldn't read it.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext._jsc.isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = LOCAL_SCRATCH
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -49,36 +56,49 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
-#: Rows that an operator in Python holds at once, with what it makes of them.
-SLICE_ROWS = 256
+#: What an operator in Python holds at once, with what it makes of it: rows, and bytes of text unless one row has more.
+SLICE_ROWS, SLICE_BYTES = 256, 4 << 20
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of SLICE_ROWS rows and SLICE_BYTES in column `at` at most; a row is never cut."""
     for batch in batches:
-        for k in range(0, batch.num_rows, SLICE_ROWS):
-            yield batch.slice(k, SLICE_ROWS)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(at)), 0))
+        ends, k = np.cumsum(sizes), 0
+        while k < batch.num_rows:
+            n = int(np.searchsorted(ends, (ends[k - 1] if k else 0) + SLICE_BYTES, side="right")) - k
+            n = max(1, min(n, SLICE_ROWS))
+            yield batch.slice(k, n)
+            k += n
 
 
-def append_arrow(df: DataFrame, text: str, fields: list[T.StructField], fn: Callable[[pa.Array], list[pa.Array]], keep: Callable[[list[pa.Array]], pa.Array] | None = None) -> DataFrame:
-    """df with the columns that fn makes of the column `text`, one Arrow batch at a time.
+def append_arrow(df: DataFrame, text: str, fields: list[T.StructField], fn: Callable[[pa.Array], list[pa.Array]], drop: bool = False) -> DataFrame:
+    """df with the columns that fn makes of the column `text`, one Arrow slice at a time.
 
-    Columns of df with the new names are replaced. keep: gives a mask of the rows that stay.
+    Columns of df with the new names are replaced; drop: the text itself isn't given back.
     """
     base = without(df, [f.name for f in fields if f.name.lower() != text.lower()])
     at = next(i for i, c in enumerate(base.columns) if c.lower() == text.lower())
-    replaced = any(f.name.lower() == text.lower() for f in fields)
-    left = [f for i, f in enumerate(base.schema.fields) if not (replaced and i == at)]
-    schema = T.StructType(left + fields)
+    gone = drop or any(f.name.lower() == text.lower() for f in fields)
+    left = [f for i, f in enumerate(base.schema.fields) if not (gone and i == at)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, at):
+            old = [(n, c) for i, (n, c) in enumerate(zip(batch.schema.names, batch.columns, strict=True)) if not (gone and i == at)]
+            yield pa.RecordBatch.from_arrays([c for _, c in old] + fn(batch.column(at)), names=[n for n, _ in old] + [f.name for f in fields])
+
+    return base.mapInArrow(run, T.StructType(left + fields))
+
+
+def filter_arrow(df: DataFrame, text: str, fn: Callable[[pa.Array], pa.Array]) -> DataFrame:
+    """The rows of df for which fn gives true, from the column `text`."""
+    at = next(i for i, c in enumerate(df.columns) if c.lower() == text.lower())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            made = fn(batch.column(at))
-            old = [c for i, c in enumerate(batch.columns) if not (replaced and i == at)]
-            names = [n for i, n in enumerate(batch.schema.names) if not (replaced and i == at)]
-            out = pa.RecordBatch.from_arrays(old + made, names=names + [f.name for f in fields])
-            yield out.filter(keep(made)) if keep else out
+        for batch in slices(batches, at):
+            yield batch.filter(fn(batch.column(at)))
 
-    return base.mapInArrow(run, schema)
+    return df.mapInArrow(run, df.schema)
 
 
 def strings(column: pa.Array) -> list[str]:
@@ -87,8 +107,24 @@ def strings(column: pa.Array) -> list[str]:
 
 
 def row_key(*cols: str) -> Column:
-    """64 bits of the row's identity. Rows with one key by chance only share candidates, which are verified."""
-    return F.xxhash64(*[F.col(c) for c in cols])
+    """128 bits of the row's identity, as two longs: rows of one key are taken to be equal in these columns."""
+    told = [x for c in cols for x in (F.isnull(F.col(c)), F.col(c))]
+    return F.struct(F.xxhash64(*told).alias("a"), F.xxhash64(F.lit(0x9E3779B97F4A7C1), *told).alias("b"))
+
+
+def packed(df: DataFrame, **more: Column) -> DataFrame:
+    """The rows of df as one column `row`, and more columns, which so can't clash with those of df."""
+    return df.select(*[c.alias(n) for n, c in more.items()], F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
+def unpacked(df: DataFrame) -> DataFrame:
+    return df.select("row.*")
+
+
+def side(df: DataFrame, most: int) -> DataFrame:
+    """df, computed once; for a join it is sent to all tasks if its rows, counted, are no more than `most`."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= most else df
 
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -6,7 +6,8 @@ its words along. Candidates are verified against the n-grams themselves, broadca
 shuffle. Hits give the words covered and the items met; documents or spans are then removed.
 
 Null texts have no words, nor have null items windows. Items with a null id cover words but are not counted as items.
-Items that share an id count once. Repeated rows each get a row. Other columns of the input don't matter.
+Items that share an id count once. Repeated rows each get a row. Other columns of the input don't matter, whatever
+their names. Very long texts are scanned whole; their words are held as one array in memory, as is their text.
 """
 
 from __future__ import annotations
@@ -96,23 +97,26 @@ def scan(df: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "t
     return out.withColumn("contaminated", F.col("n_items") >= min_items)
 
 
+def _keyed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return common.packed(df, key=common.row_key(doc_id, text))
+
+
 def remove_documents(df: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", min_items: int = MIN_ITEMS) -> DataFrame:
     """df less the rows in which windows of min_items items or more occur."""
-    bad = common.cut(scan(df, items, doc_id, text, min_items).where("contaminated").select(F.col("key").alias("_key")).distinct())
-    side = F.broadcast(bad) if bad.count() <= BROADCAST_KEYS else bad
-    return df.withColumn("_key", common.row_key(doc_id, text)).join(side, "_key", "left_anti").select(df.columns)
+    bad = common.side(scan(df, items, doc_id, text, min_items).where("contaminated").select("key").distinct(), BROADCAST_KEYS)
+    return common.unpacked(_keyed(df, doc_id, text).join(bad, "key", "left_anti"))
 
 
 def remove_spans(df: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """df with the words that windows cover taken out of the texts, each with what separates it from the next."""
-    found = common.cut(scan(df, items, doc_id, text, 1).where("n_hit > 0").select(F.col("key").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_key"]))
-    side = F.broadcast(found) if found.count() <= BROADCAST_KEYS // 10 else found
-    joined = df.withColumn("_key", common.row_key(doc_id, text)).join(side, "_key", "left")
-    seps, words = F.split(text, WORD, -1), F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    found = common.side(scan(df, items, doc_id, text, 1).where("n_hit > 0").groupBy("key").agg(F.first("spans").alias("spans")), BROADCAST_KEYS // 10)
+    joined = _keyed(df, doc_id, text).join(found, "key", "left")
+    whole = F.col(f"row.`{text}`")
+    seps, words = F.split(whole, WORD, -1), F.regexp_extract_all(whole, F.lit(WORD), F.lit(0))
     pairs = F.arrays_zip(words.alias("w"), F.slice(seps, 2, F.size(words)).alias("s"))
-    rest = F.transform(pairs, lambda p, i: F.when(F.exists("_spans", lambda x: (x["start"] <= i) & (i < x["end"])), F.lit("")).otherwise(F.concat(p["w"], p["s"])))
-    cleaned = F.when(F.col("_spans").isNull(), F.col(text)).otherwise(F.concat(seps[0], F.array_join(rest, "")))
-    return joined.withColumn(text, cleaned).select(df.columns)
+    rest = F.transform(pairs, lambda p, i: F.when(F.exists("spans", lambda x: (x["start"] <= i) & (i < x["end"])), F.lit("")).otherwise(F.concat(p["w"], p["s"])))
+    cleaned = F.when(F.col("spans").isNull(), whole).otherwise(F.concat(seps[0], F.array_join(rest, "")))
+    return joined.select(*[cleaned.alias(c) if c.lower() == text.lower() else F.col(f"row.`{c}`") for c in df.columns])
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ numbers (numpy); an n-gram of which the hash occurs twice or more marks all its
 words, against those of all words, are the coverage at that length. Lines count the same way.
 
 Null texts have no words. Texts under MIN_WORDS fail the base rule. Repeated rows each get their result. Columns of
-the input named like the new ones are replaced. An empty table gives an empty table.
+the input named like the new ones are replaced. An empty table gives an empty table. A text is measured as a whole,
+however long; its words and their hashes take some 100 bytes a word.
 """
 
 from __future__ import annotations
@@ -107,29 +108,25 @@ def verdict(m: tuple[int, ...]) -> tuple[bool, bool]:
     return failed, not failed and not bad
 
 
-def rate(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with the columns FIELDS and FLAGS."""
+def rate(df: DataFrame, text: str = "text", drop: bool = False) -> DataFrame:
+    """df with the columns FIELDS and FLAGS; drop: without the text."""
 
     def made(column: pa.Array) -> list[pa.Array]:
         rows = [measure(t) for t in common.strings(column)]
         flags = [verdict(m) for m in rows]
         return [pa.array([m[i] for m in rows], pa.int64()) for i in range(len(FIELDS))] + [pa.array([f[i] for f in flags], pa.bool_()) for i in range(2)]
 
-    return common.append_arrow(df, text, FIELDS + FLAGS, made)
+    return common.append_arrow(df, text, FIELDS + FLAGS, made, drop)
 
 
 def keep_good(df: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of df that the rules keep, with the columns of df."""
-
-    def made(column: pa.Array) -> list[pa.Array]:
-        return [pa.array([verdict(measure(t))[1] for t in common.strings(column)], pa.bool_())]
-
-    return common.append_arrow(df, text, [T.StructField("_kept", T.BooleanType())], made, keep=lambda cols: cols[0]).drop("_kept")
+    """The rows of df that the rules keep, with the columns of df, whatever their names."""
+    return common.filter_arrow(df, text, lambda column: pa.array([verdict(measure(t))[1] for t in common.strings(column)], pa.bool_()))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the base counts, the coverages, base_failed and kept of every document."""
-    return rate(common.documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+    return rate(common.documents(spark, sf_dir).select("doc_id", "text"), drop=True)
 
 
 def _sql() -> str:

@@ -7,7 +7,8 @@ expressions verify on the rows' texts. A rule without mandatory trigrams scans e
 texts, so it only ever finds too much.
 
 Null texts are empty. Rows with one id and one text share their candidates, and each gets its row. Other columns of
-the input don't matter to scan(); redact() keeps them.
+the input don't matter to scan(); redact() keeps them, whatever their names. Very long texts are scanned whole; a text,
+its lower-cased copy and what stands between its matches are held in memory.
 """
 
 from __future__ import annotations
@@ -171,18 +172,16 @@ def _matches(rule: Rule, text: Column) -> Column:
 
 
 def with_spans(df: DataFrame, text: str = "text", doc_id: str = "doc_id", rules: list[Rule] = RULES) -> DataFrame:
-    """df with _spans: the matches of all rules (start, rank, end, kind), by start and then rank."""
-    keyed = df.withColumn("_key", common.row_key(doc_id, text))
-    found = common.cut(candidates(keyed.select(F.col("_key").alias("key"), F.col(text).alias("text")), rules))
+    """row (a struct of df's columns) and spans: the matches of all rules (start, rank, end, kind), by start and then rank."""
+    keyed = common.packed(df, key=common.row_key(doc_id, text))
     # Candidates are sent to all tasks under a bound on their number; beyond it the rows are shuffled.
-    side = F.broadcast(found) if found.count() <= BROADCAST_KEYS else found
-    joined = keyed.join(side.select(F.col("key").alias("_key"), F.col("kinds").alias("_kinds")), "_key", "left")
-    whole, none = F.coalesce(F.col(text), F.lit("")), F.array().cast(SPAN)
+    found = common.side(candidates(keyed.select("key", F.col(f"row.`{text}`").alias("text")), rules), BROADCAST_KEYS)
+    whole, none = F.coalesce(F.col(f"row.`{text}`"), F.lit("")), F.array().cast(SPAN)
     spans = []
     for rule in rules:
         scans = frozenset() in trigram_query(rule.pattern)
-        spans.append(_matches(rule, whole) if scans else F.when(F.array_contains("_kinds", rule.kind), _matches(rule, whole)).otherwise(none))
-    return joined.withColumn("_spans", F.array_sort(F.concat(*spans))).drop("_key", "_kinds")
+        spans.append(_matches(rule, whole) if scans else F.when(F.array_contains("kinds", rule.kind), _matches(rule, whole)).otherwise(none))
+    return keyed.join(found, "key", "left").select("row", F.array_sort(F.concat(*spans)).alias("spans"))
 
 
 def _said(spans: Column) -> Column:
@@ -195,9 +194,9 @@ def _counter(rank: int) -> Callable[[Column], Column]:
 
 def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each of df: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
-    found = with_spans(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "_spans")
-    counts = [F.size(F.filter("_spans", _counter(k))).cast("long").alias(f"n_{rule.kind}") for k, rule in enumerate(BASE)]
-    return found.select("doc_id", *counts, F.sha2(_said(F.filter("_spans", lambda x: x["rank"] < len(BASE))), 256).alias("base_sha256"), _said(F.col("_spans")).alias("spans"))
+    found = with_spans(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).select("row.doc_id", F.col("spans").alias("found"))
+    counts = [F.size(F.filter("found", _counter(k))).cast("long").alias(f"n_{rule.kind}") for k, rule in enumerate(BASE)]
+    return found.select("doc_id", *counts, F.sha2(_said(F.filter("found", lambda x: x["rank"] < len(BASE))), 256).alias("base_sha256"), _said(F.col("found")).alias("spans"))
 
 
 def redact(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: str | None = None) -> DataFrame:
@@ -206,18 +205,26 @@ def redact(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: st
     A private key goes with its body (KEY_BLOCK); scan() reports its header only, as its SQL does.
     """
     found = with_spans(df, text, doc_id, REDACTED)
+    whole = F.col(f"row.`{text}`")
 
     def add(acc: Column, x: Column) -> Column:
-        fresh = F.concat(acc["out"], F.substring(F.col(text), acc["at"].cast("int") + 1, (x["start"] - acc["at"]).cast("int")), F.lit(PLACEHOLDER))
+        fresh = F.concat(acc["out"], F.substring(whole, acc["at"].cast("int") + 1, (x["start"] - acc["at"]).cast("int")), F.lit(PLACEHOLDER))
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    rebuilt = F.aggregate("_spans", start, add, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"].cast("int") + 1, F.length(text))))
-    changed = F.size("_spans") > 0
-    done = found.withColumn("_new", F.when(changed, rebuilt).otherwise(F.col(text)))
-    if length:
-        done = done.withColumn(length, F.when(changed, F.length("_new").cast(df.schema[length].dataType)).otherwise(F.col(length)))
-    return done.withColumn(text, F.col("_new")).select(df.columns)
+    rebuilt = F.aggregate("spans", start, add, lambda acc: F.concat(acc["out"], F.substring(whole, acc["at"].cast("int") + 1, F.length(whole))))
+    done = found.select("row", F.when(F.size("spans") > 0, rebuilt).alias("fresh"))
+    kinds = {f.name.lower(): f.dataType for f in df.schema.fields}
+
+    def column(name: str) -> Column:
+        old = F.col(f"row.`{name}`")
+        if name.lower() == text.lower():
+            return F.coalesce("fresh", old).alias(name)
+        if length and name.lower() == length.lower():
+            return F.when(F.col("fresh").isNotNull(), F.length("fresh").cast(kinds[name.lower()])).otherwise(old).alias(name)
+        return old
+
+    return done.select(*map(column, df.columns))
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

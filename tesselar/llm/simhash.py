@@ -11,17 +11,19 @@ small; a bucket that is large all the same is dealt out as pairs of its parts. A
 it finds, not its pairs.
 
 Null texts count as empty and have the fingerprint 0, as do texts without words; that one is linked like any other.
-Rows with a null id get their group's id, and count as no id of a group. Repeated rows each get a row.
+Rows with a null id get their group's id, and count as no id of a group. Repeated rows each get a row. Very long texts
+count whole: a text's words and hashes take some 60 bytes a word.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,8 +33,9 @@ from tesselar.llm.components import components
 RADIUS, SHINGLE, SEED = 4, 4, 42
 BUCKET = 256  # buckets' mean size stays under this
 HOT, PART = 2048, 1024  # a bucket beyond HOT rows is dealt out in parts of about PART rows
-BATCH_ROWS = 1 << 16  # a task compares about so many rows at once
+BATCH_ROWS, LOT_BYTES = 1 << 16, 24 << 20  # a task compares about so many rows, or bytes of them, at once
 UNITS = 1 << 16
+BROADCAST_ROWS = 1_000_000
 
 
 def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
@@ -52,10 +55,9 @@ def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
 
 def majority(hashes: np.ndarray) -> int:
     """The 64 bits: each is 1 if set in over half the hashes."""
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     counts = np.zeros(64, dtype=np.int64)
-    for k in range(0, len(bits), 255):  # sums of up to 255 bits fit a byte
-        counts += bits[k : k + 255].sum(axis=0, dtype=np.uint8)
+    for k in range(0, len(hashes), 255):  # sums of up to 255 bits fit a byte
+        counts += np.unpackbits(hashes[k : k + 255].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
@@ -64,13 +66,13 @@ def fingerprint(text: str) -> int:
     return majority(shingle_hashes(text))
 
 
-def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fp") -> DataFrame:
-    """df with its texts' fingerprints as (signed) longs."""
+def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fp", drop: bool = False) -> DataFrame:
+    """df with its texts' fingerprints as (signed) longs; drop: without the texts."""
 
     def made(column: pa.Array) -> list[pa.Array]:
         return [pa.array(np.array([fingerprint(t) for t in common.strings(column)], dtype=np.uint64).view(np.int64), pa.int64())]
 
-    return common.append_arrow(df, text, [T.StructField(out, T.LongType())], made)
+    return common.append_arrow(df, text, [T.StructField(out, T.LongType())], made, drop)
 
 
 def scheme(n: int, radius: int = RADIUS) -> tuple[int, int]:
@@ -91,14 +93,14 @@ def bucket_keys(fp: Column, blocks: int, choose: int) -> Column:
     return F.array(*keys)
 
 
-def close(fps: np.ndarray, groups: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places a < b of one group of which the fingerprints differ in at most radius bits.
+def close(fps: np.ndarray, groups: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places a < b of one group of which the fingerprints differ in at most radius bits, in lots of bounded size.
 
     groups: equal numbers stand together. The words of planes never span groups.
     """
     n = len(fps)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return
     starts = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
     sizes = np.diff(np.concatenate([starts, [n]]))
     words = -(-sizes // 64)
@@ -120,7 +122,6 @@ def close(fps: np.ndarray, groups: np.ndarray, radius: int = RADIUS) -> tuple[np
     # A fingerprint meets the words from its own on.
     meets = words[which] - place // 64
     width = radius.bit_length()
-    a_all, b_all = [], []
     begin = 0
     upto = np.cumsum(meets)
     while begin < n:
@@ -150,10 +151,8 @@ def close(fps: np.ndarray, groups: np.ndarray, radius: int = RADIUS) -> tuple[np
             unit, lane = np.nonzero(np.unpackbits(near.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
             a, b2 = query[unit], at[word[unit] * 64 + lane]
             later = b2 > a
-            a_all.append(a[later])
-            b_all.append(b2[later])
+            yield a[later], b2[later]
         begin = end
-    return (np.concatenate(a_all), np.concatenate(b_all)) if a_all else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def exceeds(counter: list[np.ndarray], radius: int) -> np.ndarray:
@@ -168,9 +167,12 @@ def exceeds(counter: list[np.ndarray], radius: int) -> np.ndarray:
     return more
 
 
-def stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least place of each place's component."""
-    root = np.arange(n)
+def stars(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray | None = None) -> np.ndarray:
+    """The least place of each place's component; root: the same from earlier links."""
+    if root is None:
+        root = np.arange(n)
+    else:
+        a, b = np.concatenate([a, np.arange(n)]), np.concatenate([b, root])
     while True:
         least = np.minimum(root[a], root[b])
         before = root.copy()
@@ -183,21 +185,22 @@ def stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return root
 
 
-def whole_buckets(batches, keys: int, most: int):
-    """Rows as columns of longs, in lots of about most rows; rows that agree in the first columns, keys of them, stay together."""
-    held: list[np.ndarray] | None = None
+def whole_buckets(batches: Iterator[pa.RecordBatch], keys: int, most: int, most_bytes: int) -> Iterator[pa.Table]:
+    """Lots of about most rows or most_bytes; rows that agree in the first columns, keys of them, come together and stay so."""
+    held: pa.Table | None = None
     for batch in batches:
-        cols = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
-        held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
-        while len(held[0]) >= most:
-            same = np.logical_and.reduce([c == c[-1] for c in held[:keys]])
-            last = int(len(same) - np.argmin(same[::-1])) if not same.all() else 0  # of the bucket that may go on
-            if not last:
-                break
-            yield [c[:last] for c in held]
-            held = [c[last:] for c in held]
-    if held is not None and len(held[0]):
-        yield held
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        if held.num_rows < most and held.nbytes < most_bytes:
+            continue
+        same = np.logical_and.reduce([(c := held.column(i).to_numpy()) == c[-1] for i in range(keys)])
+        if same.all():
+            continue
+        last = len(same) - int(np.argmin(same[::-1]))  # where the bucket that may go on begins
+        yield held.slice(0, last).combine_chunks()
+        held = held.slice(last).combine_chunks()
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()
 
 
 def numbered(keys: list[np.ndarray]) -> np.ndarray:
@@ -208,30 +211,37 @@ def numbered(keys: list[np.ndarray]) -> np.ndarray:
 
 def _compare(batches):
     """From rows (t, k, i, j, fp), a bucket's together, to stars (u, v) of linked fingerprints."""
-    for cols in whole_buckets(batches, 4, BATCH_ROWS):
-        fps = cols[-1].view(np.uint64)
-        a, b = close(fps, numbered(cols[:-1]))
-        root = stars(len(fps), a, b)
+    for lot in whole_buckets(batches, 4, BATCH_ROWS, LOT_BYTES):
+        cols = [c.to_numpy() for c in lot.columns]
+        fps, root = cols[-1].view(np.uint64), None
+        for a, b in close(fps, numbered(cols[:-1])):
+            root = stars(len(fps), a, b, root)
+        if root is None:
+            continue
         linked = np.flatnonzero(root != np.arange(len(fps)))
         u, v = fps[linked].view(np.int64), fps[root[linked]].view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
 
-def dealt(rows: DataFrame, by: str) -> DataFrame:
-    """rows (t, k and others) with i, j: each bucket has 0, 0; one beyond HOT rows is dealt out as pairs of its parts, by the column named."""
+def dealt(rows: DataFrame, by: str, weight: Column | None = None) -> DataFrame:
+    """rows (t, k and others) with i, j: each bucket has 0, 0; a large one is dealt out as pairs of its parts, by the column named.
+
+    Large are buckets of more than HOT rows, or with a sum of weight (bytes that are joined to the rows later) over LOT_BYTES.
+    """
     rest = [c for c in rows.columns if c not in ("t", "k")]
-    hot = common.cut(rows.groupBy("t", "k").agg(F.count("*").alias("n")).where(F.col("n") > HOT))
+    plain = lambda df: df.select("t", "k", F.lit(0).alias("i"), F.lit(0).alias("j"), *rest)
+    sizes = rows.groupBy("t", "k").agg(F.count("*").alias("n"), F.sum(F.lit(0) if weight is None else weight).alias("w"))
+    parts = F.greatest(F.ceil(F.col("n") / PART), F.ceil(2 * F.col("w") / LOT_BYTES)).cast("int")
+    hot = common.cut(sizes.where((F.col("n") > HOT) | (F.col("w") > LOT_BYTES)).select("t", "k", parts.alias("parts")))
     n_hot = hot.count()
-    plain = rows.select("t", "k", F.lit(0).alias("i"), F.lit(0).alias("j"), *rest)
-    if n_hot:
-        # Under a bound of 100,000 hot buckets they are sent to all tasks; beyond it both sides are shuffled.
-        side = F.broadcast(hot) if n_hot <= 100_000 else hot
-        parts = F.ceil(F.col("n") / PART).cast("int")
-        own = F.pmod(F.xxhash64(by), parts).cast("int")
-        met = F.transform(F.sequence(F.lit(0), parts - 1), lambda x: F.struct(F.least(own, x).alias("i"), F.greatest(own, x).alias("j")))
-        marked = rows.join(side, ["t", "k"], "left")
-        plain = marked.where("n is null").select("t", "k", F.lit(0).alias("i"), F.lit(0).alias("j"), *rest).unionByName(marked.where("n is not null").select("t", "k", *rest, F.explode(met).alias("p")).select("t", "k", "p.i", "p.j", *rest))
-    return plain
+    if not n_hot:
+        return plain(rows)
+    # Under a bound of 100,000 hot buckets they are sent to all tasks; beyond it both sides are shuffled.
+    marked = rows.join(F.broadcast(hot) if n_hot <= 100_000 else hot, ["t", "k"], "left")
+    own = F.pmod(F.xxhash64(by), F.col("parts")).cast("int")
+    met = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least(own, x).alias("i"), F.greatest(own, x).alias("j")))
+    split = marked.where("parts is not null").select("t", "k", *rest, F.explode(met).alias("p")).select("t", "k", "p.i", "p.j", *rest)
+    return plain(marked.where("parts is null")).unionByName(split)
 
 
 def linked(fps: DataFrame, fp: str = "fp") -> DataFrame:
@@ -243,34 +253,38 @@ def linked(fps: DataFrame, fp: str = "fp") -> DataFrame:
     return dealt(rows, "fp").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compare, "u long, v long")
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each of df: doc_id, key (its row's, by id and text), fp (long), component_id (the least id of the component) and first (whether its key is the one that a component keeps)."""
-    slim = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("key", common.row_key("doc_id", "text"))
-    rows = common.stash(with_fingerprint(slim).drop("text"), "fingerprints")
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rid: Column | None = None, tie: Column | None = None) -> DataFrame:
+    """One row for each of df: doc_id, rid (the row's number: that given, or one of its own), tie (the order of rows with one id), fp (long), component_id (the least id of the component) and first (whether it is the one row that a component keeps)."""
+    slim = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), (F.monotonically_increasing_id() if rid is None else rid).alias("rid"), (F.lit(0) if tie is None else tie).cast("long").alias("tie"))
+    rows = common.stash(with_fingerprint(slim, drop=True), "fingerprints")
     return grouped(rows, components(linked(rows), "u", "v"), "fp")
 
 
 def grouped(rows: DataFrame, roots: DataFrame, by: str) -> DataFrame:
-    """doc_id, key, by, component_id and first for rows (doc_id, key and by); roots: node, root for the values of by that are linked."""
+    """doc_id, rid, by, component_id and first for rows (doc_id, rid, tie and by); roots: node, root for the values of by that are linked."""
     roots = common.cut(roots)
-    least = rows.groupBy(by).agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")).alias("least"))
+    least = rows.groupBy(by).agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "tie", "rid")).alias("least"))
     groups = common.cut(least.join(roots.withColumnRenamed("node", by), by, "left").select(by, F.coalesce("root", by).alias("root"), "least"))
     heads = common.cut(groups.groupBy("root").agg(F.min("least").alias("head")))  # else a large group's rows couldn't be split in the join
-    of = groups.join(heads, "root").select(by, F.col("head.doc_id").alias("component_id"), F.col("head.key").alias("head_key"))
-    return rows.join(of, by, "left").select("doc_id", "key", by, "component_id", (F.col("key") == F.col("head_key")).alias("first"))
+    of = groups.join(heads, "root").select(by, F.col("head.doc_id").alias("component_id"), F.col("head.rid").alias("head"))
+    return rows.join(of, by, "left").select("doc_id", "rid", by, "component_id", (F.col("rid") == F.col("head")).alias("first"))
 
 
 def keep_first(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """df with one row of each group of near-duplicates: that of the least id (rows without id come last), and one of equal rows."""
-    return only_first(df, near_duplicates(df, doc_id, text), doc_id, text)
+    """df with one row of each group of near-duplicates: that of the least id; rows without id come last."""
+    return only_first(df, near_duplicates, doc_id, text)
 
 
-def only_first(df: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """df with the rows of which the key is first in found (key, first), and one of equal rows."""
-    firsts = found.where("first").select(F.col("key").alias("_key")).distinct()
-    kept = df.withColumn("_key", common.row_key(doc_id, text)).join(firsts, "_key", "left_semi")
-    once = kept.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
-    return once.where("_nth = 1").select(df.columns)
+def only_first(df: DataFrame, near: Callable[..., DataFrame], doc_id: str, text: str) -> DataFrame:
+    """df with the rows that are first in what near gives. The rows are written once, so that each has a number of its own.
+
+    Of rows with one id the one with the least hash of its columns stays; rows that are equal in all of them are alike.
+    """
+    told = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    rows = common.stash(common.packed(df, rid=F.monotonically_increasing_id(), tie=F.xxhash64(*told)), "rows")
+    found = near(rows.select("rid", "tie", F.col(f"row.`{doc_id}`").alias("doc_id"), F.col(f"row.`{text}`").alias("text")), rid=F.col("rid"), tie=F.col("tie"))
+    gone = common.side(found.where(~F.col("first")).select("rid"), BROADCAST_ROWS)
+    return common.unpacked(rows.join(gone, "rid", "left_anti"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,6 +60,29 @@ def test_chains(spark, monkeypatch, hot):
     assert {r["doc_id"] for r in got.collect()} == brute_keep(docs) | {90}
 
 
+def test_group_around_a_middle(spark, monkeypatch):
+    """Copies that are alike to one text in their middle, and hardly to each other; and some that are alike to none."""
+    rng = np.random.default_rng(3)
+    base = [f"b{x}" for x in rng.integers(0, 9000, 200)]
+    docs = {500: " ".join(base)}
+    for k in range(60):
+        new = list(base)
+        for at in rng.choice(200, 4 if k % 3 else 9, replace=False):
+            new[at] = f"n{k}x{at}"
+        docs[k] = " ".join(new)
+    monkeypatch.setattr(nearcopies, "COMPARE_ROWS", 16)
+    want = brute_keep(docs)
+    got = nearcopies.keep_first(spark.createDataFrame(list(docs.items()), DOCS))
+    assert {r["doc_id"] for r in got.collect()} == want and 1 < len(want) < 30
+
+
+def test_ties_and_repeats(spark):
+    """One id and text with different other columns: one row stays, the same one in any order of the rows; and of equal rows one."""
+    rows = [(1, "a b c d e f g", x) for x in ("p", "q", "q", "r")] + [(None, "a b c d e f g", "s"), (2, "x", None), (2, "x", None)]
+    kept = {tuple(sorted(map(repr, nearcopies.keep_first(spark.createDataFrame(r, "doc_id long, text string, row string")).collect()))) for r in (rows, rows[::-1])}
+    assert len(kept) == 1 and len(kept.pop()) == 2
+
+
 def test_hard_rows(spark, nasty, empty):
     assert nearcopies.near_copies(nasty).count() == nasty.count()
     assert nearcopies.keep_first(nasty).columns == nasty.columns and nearcopies.keep_first(empty).count() == 0

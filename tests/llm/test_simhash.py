@@ -46,7 +46,7 @@ def test_bit_slices(seed):
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
     fps = np.concatenate([base[rng.integers(0, 40, 700)] ^ (np.uint64(1) << rng.integers(0, 64, 700, dtype=np.uint64)) ^ np.where(rng.random(700) < 0.5, np.uint64(7 << 20), np.uint64(0)), base])
     groups = np.sort(rng.integers(0, 9, len(fps)))
-    a, b = simhash.close(fps, groups)
+    a, b = (np.concatenate(x) for x in zip(*simhash.close(fps, groups), strict=True))
     want = {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if groups[i] == groups[j] and int(fps[i] ^ fps[j]).bit_count() <= 4}
     assert set(zip(a.tolist(), b.tolist(), strict=True)) == want
 
