@@ -11,6 +11,10 @@ decoding gathers the vocabulary's bytes to those offsets.
 
 Null texts are empty: no ids, no bytes. Repeated rows each get their result. Columns of the input named like the
 new ones are replaced. An empty table gives an empty table.
+
+Very long texts are scanned CHUNK_CHARS code points at a time, the automaton's state and the piece that goes on being
+carried over, so a text takes a few times its own bytes and a bounded rest. A single piece (a run of letters, say) is
+never cut; merging takes some 200 times its bytes if it is over SHORT_PIECE.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from __future__ import annotations
 import base64
 import heapq
 import zlib
+from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -42,10 +47,12 @@ WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x20
 #: What may follow the apostrophe of a contraction.
 SHORT_ENDS, LONG_ENDS = "stmd", ("re", "ve", "ll")
 
-CHUNK_CHARS = 1 << 20  # texts are put together to about this many code points; one text is never cut
+CHUNK_CHARS = 1 << 18  # texts are put together to this many code points, and longer ones are scanned in such parts
 BLOCK = 256
-CACHE_PIECES = 400_000  # the cache is emptied beyond this many pieces; results don't depend on it
+CACHE_BYTES = 48 << 20  # the cache is emptied beyond about so much memory; results don't depend on it
+PIECE_COST = 180  # bytes of memory that an entry of the cache takes besides its piece and ids
 CACHED_BYTES = 64
+AHEAD = 2  # code points after one that decide on its symbol
 SHORT_PIECE = 48
 
 
@@ -91,8 +98,8 @@ def monoid() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 ELEMENTS, BY_SYMBOL, PRODUCT, STARTS = monoid()
 
 
-def states_before(symbols: np.ndarray) -> np.ndarray:
-    """The automaton's state before each symbol, from START, by an associative scan."""
+def states_before(symbols: np.ndarray, first: int = START) -> np.ndarray:
+    """The automaton's state before each symbol, from the state first, by an associative scan."""
     n = len(symbols)
     blocks = max(1, -(-n // BLOCK))
     padded = np.full(blocks * BLOCK, NOTHING, dtype=np.uint16)
@@ -109,7 +116,7 @@ def states_before(symbols: np.ndarray) -> np.ndarray:
         nxt[reach:] = PRODUCT[acc[:-reach], acc[reach:]]
         acc, reach = nxt, reach * 2
     entry = np.empty(blocks, dtype=np.int32)
-    entry[0], entry[1:] = START, ELEMENTS[acc[:-1], START]
+    entry[0], entry[1:] = first, ELEMENTS[acc[:-1], first]
     return ELEMENTS.ravel()[before.astype(np.int32) * STATES + entry].T.ravel()[:n]
 
 
@@ -147,19 +154,42 @@ def code_point_classes() -> bytes:
     return zlib.compress(table.tobytes())
 
 
-class Codec:
-    """Encodes and decodes by a vocabulary of ranks."""
+class Vocabulary:
+    """What decoding needs: the tokens' bytes by rank."""
 
-    def __init__(self, ranks: bytes, classes: bytes):
-        self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines()) if a}
-        self.classes = np.frombuffer(zlib.decompress(classes), dtype=np.uint8)
-        size = max(self.ranks.values(), default=-1) + 1
-        words = [b""] * size
-        for word, rank in self.ranks.items():
+    def __init__(self, ranks: dict[bytes, int]):
+        words = [b""] * (max(ranks.values(), default=-1) + 1)
+        for word, rank in ranks.items():
             words[rank] = word
         self.lengths = np.array([len(w) for w in words], dtype=np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
+        self.starts = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(words), dtype=np.uint8)
+
+    def offsets(self, ids: bytes) -> bytes:
+        """The byte at which each token ends."""
+        return np.cumsum(self.lengths[np.frombuffer(ids, dtype="<u4")]).astype("<u4").tobytes()
+
+    def decode(self, ids: bytes, offsets: bytes) -> bytes:
+        k, ends = np.frombuffer(ids, dtype="<u4"), np.frombuffer(offsets, dtype="<u4")
+        out, lot = [], CHUNK_CHARS
+        for i in range(0, len(k), lot):
+            begin = np.concatenate([[ends[i - 1] if i else 0], ends[i : i + lot]]).astype(np.int64)
+            at = np.repeat(self.starts[k[i : i + lot]] - begin[:-1], np.diff(begin)) + np.arange(begin[0], begin[-1])
+            out.append(self.bytes[at].tobytes())
+        return b"".join(out)
+
+
+def read_ranks(ranks: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines()) if a}
+
+
+class Codec(Vocabulary):
+    """Encodes and decodes by a vocabulary of ranks."""
+
+    def __init__(self, ranks: bytes, classes: bytes):
+        self.ranks = read_ranks(ranks)
+        super().__init__(self.ranks)
+        self.classes = np.frombuffer(zlib.decompress(classes), dtype=np.uint8)
         self.cache = Pieces(self)
 
     def merge(self, piece: bytes) -> list[int]:
@@ -212,43 +242,59 @@ class Codec:
         firsts = [*np.searchsorted(starts, borders).tolist(), len(slices)]
         return [slices[a + 1 : b] for a, b in pairwise(firsts)]
 
+    def long_pieces(self, text: str) -> Iterator[list[bytes]]:
+        """The pieces of one text, part by part."""
+        state, begun = START, [b""]
+        for a in range(0, len(text), CHUNK_CHARS):
+            part = text[a : a + CHUNK_CHARS]
+            points = np.frombuffer(text[a : a + CHUNK_CHARS + AHEAD].encode("utf-32-le"), dtype=np.uint32)
+            symbols = symbols_of(points, [], self.classes)[: len(part)]
+            states = states_before(symbols, state)
+            state = step(int(states[-1]), int(symbols[-1]))[0]
+            points = points[: len(part)]
+            widths = 1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000)
+            at = np.concatenate([[0], np.cumsum(widths, dtype=np.int64)])
+            raw, starts = part.encode(), np.flatnonzero(STARTS[states, symbols])
+            cuts = at[starts].tolist()
+            if not cuts:
+                begun.append(raw)
+                continue
+            yield [b"".join([*begun, raw[: cuts[0]]]), *(raw[x:y] for x, y in pairwise(cuts))]
+            begun = [raw[cuts[-1] :]]
+        yield [b"".join(begun)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Of each text its ids as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
         get, k = self.cache.__getitem__, 0
         while k < len(texts):
+            if len(texts[k]) > CHUNK_CHARS:
+                out.append(b"".join(b"".join([get(p) for p in pieces if p]) for pieces in self.long_pieces(texts[k])))
+                k += 1
+                continue
             group, size = [], 0
-            while k < len(texts) and (not group or size + len(texts[k]) <= CHUNK_CHARS):
+            while k < len(texts) and size + len(texts[k]) <= CHUNK_CHARS:
                 group.append(texts[k])
                 size += len(texts[k])
                 k += 1
             out += [b"".join(map(get, pieces)) for pieces in self.pieces(group)]
-            if len(self.cache) > CACHE_PIECES:
-                self.cache.clear()
         return out
 
-    def offsets(self, ids: bytes) -> bytes:
-        """The byte at which each token ends."""
-        return np.cumsum(self.lengths[np.frombuffer(ids, dtype="<u4")]).astype("<u4").tobytes()
-
-    def decode(self, ids: bytes, offsets: bytes) -> bytes:
-        k, ends = np.frombuffer(ids, dtype="<u4"), np.frombuffer(offsets, dtype="<u4").astype(np.int64)
-        if not len(k):
-            return b""
-        begin = np.concatenate([[0], ends[:-1]])
-        return self.bytes[np.repeat(self.starts[k] - begin, ends - begin) + np.arange(ends[-1])].tobytes()
-
 
 class Pieces(dict):
-    """Ids, as bytes, by piece; made when first asked for."""
+    """Ids, as bytes, by piece; made when first asked for. Emptied beyond CACHE_BYTES."""
 
     def __init__(self, codec: Codec):
         super().__init__()
-        self.codec = codec
+        self.codec, self.size = codec, 0
 
     def __missing__(self, piece: bytes) -> bytes:
         ids = np.array(self.codec.merge(piece), dtype="<u4").tobytes()
         if len(piece) <= CACHED_BYTES:
+            self.size += len(piece) + len(ids) + PIECE_COST
+            if self.size > CACHE_BYTES:
+                self.clear()
+                self.size = 0
             self[piece] = ids
         return ids
 
@@ -272,34 +318,42 @@ def _share(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast((f.read(), code_point_classes()))
 
 
-def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
+FIELDS = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("offsets", T.BinaryType())]
+DECODED = T.StructField("decoded", T.BinaryType())
+
+
+def encode(df: DataFrame, path: str, text: str = "text", decoded: bool = False, drop: bool = False) -> DataFrame:
     """df with n_tokens long, ids binary and offsets binary (each token's end, in bytes); both little-endian unsigned 32-bit.
 
-    path: a file of lines of a base64 token and its rank. No special tokens are made.
+    path: a file of lines of a base64 token and its rank. No special tokens are made. decoded: the ids are decoded again
+    by the same worker, to the column decoded, as decode() does; drop: without the text.
     """
     shared = _share(df.sparkSession, path)
 
     def made(column: pa.Array) -> list[pa.Array]:
         codec = _codec(shared)
         ids = codec.encode(common.strings(column))
-        return [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([codec.offsets(x) for x in ids], pa.binary())]
+        ends = [codec.offsets(x) for x in ids]
+        back = [pa.array([codec.decode(x, y) for x, y in zip(ids, ends, strict=True)], pa.binary())] if decoded else []
+        return [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(ends, pa.binary()), *back]
 
-    return common.append_arrow(df, text, [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("offsets", T.BinaryType())], made)
+    return common.append_arrow(df, text, [*FIELDS, DECODED] if decoded else FIELDS, made, drop)
 
 
 def decode(df: DataFrame, path: str) -> DataFrame:
-    """df, which has ids and offsets as encode() makes them, with decoded binary: the bytes of the text."""
-    shared = _share(df.sparkSession, path)
+    """df, which has ids and offsets as encode() makes them, with decoded binary: the bytes of the text. Nulls give no bytes."""
+    with open(path, "rb") as f:
+        shared = df.sparkSession.sparkContext.broadcast(f.read())
     base = common.without(df, ["decoded"])
     a, b = base.columns.index("ids"), base.columns.index("offsets")
 
     def run(batches):
-        codec = _codec(shared)
-        for batch in common.slices(batches):
-            texts = [codec.decode(x, y) for x, y in zip(batch.column(a).to_pylist(), batch.column(b).to_pylist(), strict=True)]
+        words = Vocabulary(read_ranks(shared.value))
+        for batch in common.slices(batches, a):
+            texts = [words.decode(x or b"", y or b"") for x, y in zip(batch.column(a).to_pylist(), batch.column(b).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, "decoded"])
 
-    return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField("decoded", T.BinaryType())]))
+    return base.mapInArrow(run, T.StructType([*base.schema.fields, DECODED]))
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,5 +361,5 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = decode(encode(common.documents(spark, sf_dir).select("doc_id", "text"), path).drop("text"), path)
+    coded = encode(common.documents(spark, sf_dir).select("doc_id", "text"), path, decoded=True, drop=True)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

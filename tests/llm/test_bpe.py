@@ -53,11 +53,31 @@ def test_scan_is_the_automaton():
 
 
 def test_cache_limit_changes_nothing(codec, monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE_PIECES", 3)
-    monkeypatch.setattr(bpe, "CHUNK_CHARS", 10)
     texts = ["one two three four five", "", "six'll seven\n\n eight"]
+    want = codec.encode(texts)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 3)
+    monkeypatch.setattr(bpe, "CHUNK_CHARS", 10)
     with open(PATH, "rb") as f:
-        assert bpe.Codec(f.read(), bpe.code_point_classes()).encode(texts) == codec.encode(texts)
+        assert bpe.Codec(f.read(), bpe.code_point_classes()).encode(texts) == want
+
+
+@pytest.mark.parametrize("chars", [1, 2, 3, 7])
+def test_texts_longer_than_a_chunk(codec, reference, monkeypatch, chars):
+    """The state, the piece that goes on and what is read ahead are carried over."""
+    monkeypatch.setattr(bpe, "CHUNK_CHARS", chars)
+    rng = random.Random(2)
+    alphabet = "ab Zé'strevlmd  \n\t　 12!中😀"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(chars, 60))) for _ in range(1500)]
+    texts += ["we'll they're 'tis x's", "a" * 50, " " * 9 + "x", "it've  \n 's'"]
+    for text, raw in zip(texts, codec.encode(texts), strict=True):
+        assert ids(raw) == reference.encode_ordinary(text), repr(text)
+        assert codec.decode(raw, codec.offsets(raw)) == text.encode()
+
+
+def test_fused_decoding_is_decoding(nasty):
+    apart = bpe.decode(bpe.encode(nasty, PATH, drop=True), PATH)
+    fused = bpe.encode(nasty, PATH, decoded=True, drop=True)
+    assert sorted(map(repr, fused.collect())) == sorted(map(repr, apart.collect())) and fused.columns == apart.columns
 
 
 def test_query(spark, duck, reference):
