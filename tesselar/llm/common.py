@@ -32,18 +32,30 @@ def scratch(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder; survives the loss of any executor."""
-    scratch(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stash(df: DataFrame, name: str, schema: T.StructType | None = None) -> DataFrame:
-    """df, written as Parquet to the shared folder and read back; columns that aren't used aren't read."""
+    """df, written as Parquet to the shared folder and read back; survives the loss of any executor.
+
+    Columns that aren't used aren't read, and the planner knows the table's size. (checkpoint() would compute df twice, and
+    keep the size that was estimated before, which loops multiply until planning fails.)
+    """
     spark = df.sparkSession
     path = f"{scratch(spark)}/tesselar-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(schema or df.schema).parquet(path)
+    out = spark.read.schema(schema or df.schema).parquet(path)
+    out.tesselar_path = path
+    return out
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once; for small tables and loops."""
+    return stash(df, "cut")
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that stash() or cut() wrote, when nothing will read it again."""
+    jvm, path = df.sparkSession._jvm, df.tesselar_path
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +72,17 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
 SLICE_ROWS, SLICE_BYTES = 256, 4 << 20
 
 
+#: Bytes of a batch between Spark and Python, unless the session says otherwise; Spark's own 64 MB are held several times by each task.
+ARROW_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Makes Spark's Arrow batches small, so that tasks of texts need little memory besides the heap."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, ARROW_BYTES)
+
+
 def slices(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
     """Batches in parts of SLICE_ROWS rows and SLICE_BYTES in column `at` at most; a row is never cut."""
     for batch in batches:
@@ -77,6 +100,7 @@ def append_arrow(df: DataFrame, text: str, fields: list[T.StructField], fn: Call
 
     Columns of df with the new names are replaced; drop: the text itself isn't given back.
     """
+    bounded_batches(df.sparkSession)
     base = without(df, [f.name for f in fields if f.name.lower() != text.lower()])
     at = next(i for i, c in enumerate(base.columns) if c.lower() == text.lower())
     gone = drop or any(f.name.lower() == text.lower() for f in fields)
@@ -92,6 +116,7 @@ def append_arrow(df: DataFrame, text: str, fields: list[T.StructField], fn: Call
 
 def filter_arrow(df: DataFrame, text: str, fn: Callable[[pa.Array], pa.Array]) -> DataFrame:
     """The rows of df for which fn gives true, from the column `text`."""
+    bounded_batches(df.sparkSession)
     at = next(i for i, c in enumerate(df.columns) if c.lower() == text.lower())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,3 +159,33 @@ ASCII_LOWER = ASCII_UPPER.lower()
 def ascii_lower(word: Column) -> Column:
     """word with A-Z in lower case and nothing else changed; lower() is the quick way where all is ASCII."""
     return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(F.translate(word, ASCII_UPPER, ASCII_LOWER))
+
+
+class Bloom:
+    """A Bloom filter of 64-bit hashes for use in expressions: a literal array of longs, two bits for each hash.
+
+    It has 64 bits for each hash, between 2^MIN_BITS and 2^MAX_BITS in all (8 MB), so its size is bounded; at 8 million
+    hashes one in twenty others passes. What passes must be verified.
+    """
+
+    MIN_BITS, MAX_BITS = 12, 26
+
+    def __init__(self, hashes: DataFrame, n: int):
+        self.power = min(self.MAX_BITS, max(self.MIN_BITS, (64 * n).bit_length()))
+        h = F.col("h")
+        places = hashes.toDF("h").where("h is not null").select(F.explode(F.array(self._low(h), self._high(h))).alias("at"))
+        cells = places.select(F.expr("cast(at div 64 as int)").alias("cell"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("v"))
+        values = [0] * (1 << self.power - 6)
+        for cell, v in cells.collect():  # at most 2^20 cells
+            values[cell] = v
+        self.table = F.expr(f"cast(split('{','.join(map(str, values))}', ',') as array<bigint>)")
+
+    def _low(self, h: Column) -> Column:
+        return h.bitwiseAND(F.lit((1 << self.power) - 1))
+
+    def _high(self, h: Column) -> Column:
+        return F.shiftrightunsigned(h, 32).bitwiseAND(F.lit((1 << self.power) - 1))
+
+    def has(self, h: Column) -> Column:
+        bit = lambda at: F.getbit(F.get(self.table, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
+        return bit(self._low(h)) & bit(self._high(h))

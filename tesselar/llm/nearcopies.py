@@ -35,6 +35,7 @@ SHINGLE, LEAST = 5, 0.8
 BANDS, BAND_ROWS = 24, 5
 RADIUS = 24
 COMPARE_ROWS = 1 << 13  # a task compares about so many rows at once
+UNITS = 1 << 12  # of 64 pairs each, of which most may be near
 CHUNK = 1 << 11
 BROADCAST_ROWS = 500_000
 _RANDOM = np.random.default_rng(42)
@@ -131,7 +132,7 @@ def _compare(batches):
         many = many[kind.ravel()]
         sizes, comp = np.diff(offsets), root.copy()
         known, bucket, links = -1, None, []
-        for a, b in simhash.close(fp.view(np.uint64), groups, RADIUS):
+        for a, b in simhash.close(fp.view(np.uint64), groups, RADIUS, UNITS):
             small, large = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
             fit = (root[a] != root[b]) & (10 * small >= round(10 * LEAST) * large)
             a, b = a[fit], b[fit]
@@ -179,25 +180,27 @@ def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rid:
     nodes = common.stash(one.withColumnRenamed("rid", "node"), "nodes")
     texts = rows.join(nodes.select(F.col("node").alias("rid")), "rid", "left_semi").select(F.col("rid").alias("node"), "fp", "m", "bands")
     spread = common.stash(texts.select("node", "fp", "m", F.posexplode("bands").alias("t", "k")), "bands")
-    buckets = spread.groupBy("t", "k").agg(F.count("*").alias("n"), F.min("node").alias("v"), F.max("node").alias("u"), F.bit_xor("fp").alias("x"), F.min("m").alias("a"), F.max("m").alias("b"))
+    buckets = spread.groupBy("t", "k").agg(F.count("*").alias("n"), F.min("node").alias("v"), F.max("node").alias("u"), F.bit_xor("fp").alias("x"))
     buckets = common.stash(buckets.where("n > 1"), "buckets")
-    twos = buckets.where((F.col("n") == 2) & (F.bit_count("x") <= RADIUS) & near_in_size(F.col("a"), F.col("b"))).select("u", "v")
-    members = common.stash(spread.join(buckets.where("n > 2").select("t", "k"), ["t", "k"], "left_semi"), "members")
+    twos = buckets.where((F.col("n") == 2) & (F.bit_count("x") <= RADIUS)).select("u", "v")
+    members = common.stash(spread.join(common.side(buckets.where("n > 2").select("t", "k"), BROADCAST_ROWS), ["t", "k"], "left_semi"), "members")
     d = differing(F.col("fp"), F.col("v_fp"))
     starred = members.join(_middles(members), ["t", "k"]).where((F.col("node") != F.col("v")) & (d <= RADIUS) & near_in_size(F.col("m"), F.col("v_m")))
     nearest = starred.groupBy(F.col("node").alias("u")).agg(F.min(F.struct(d.alias("d"), "v")).alias("c")).select("u", "c.v")
-    pairs = common.cut(twos.unionByName(nearest).distinct())
+    pairs = common.side(twos.unionByName(nearest).distinct(), BROADCAST_ROWS)
     asked = pairs.select(F.col("u").alias("rid")).unionByName(pairs.select(F.col("v").alias("rid"))).unionByName(members.select(F.col("node").alias("rid"))).distinct()
     told = slim.select("rid", "text").join(common.side(asked, BROADCAST_ROWS), "rid", "left_semi")
     told = common.stash(common.append_arrow(told, "text", [T.StructField("set", T.BinaryType())], _sets, drop=True).withColumnRenamed("rid", "node"), "sets")
-    both = pairs.join(told.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(told.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
+    # Few pairs are sent to the sets, many are shuffled with them; then the other text's set follows.
+    both = told.select(F.col("node").alias("u"), F.col("set").alias("a")).join(pairs, "u").join(told.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
     links = common.cut(both.select("u", "v", "a", "b").mapInArrow(_check, "u long, v long"))
     roots = common.cut(components(links, "u", "v").withColumnRenamed("node", "node_"))
     rooted = common.stash(members.join(roots, members["node"] == roots["node_"], "left").select("t", "k", F.coalesce("root", "node").alias("root"), "node", "fp", "m"), "rooted")
     open_ = rooted.groupBy("t", "k").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("t", "k")
     rest = common.stash(rooted.join(open_, ["t", "k"], "left_semi"), "open")
     keys = ["t", "k", "i", "j"]
-    full = simhash.dealt(rest, "node", 8 * F.col("m")).join(told, "node").select(*keys, "root", "node", "fp", "set")
+    parts = common.side(simhash.dealt(rest, "node", 8 * F.col("m")), BROADCAST_ROWS)
+    full = told.join(parts, "node").select(*keys, "root", "node", "fp", "set")
     more = common.cut(full.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compare, "u long, v long"))
     of = nodes.join(components(links.unionByName(more), "u", "v"), "node", "left").select("w1", "w2", "node", "root")
     return _grouped(rows, common.cut(of))

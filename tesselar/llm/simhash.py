@@ -93,8 +93,8 @@ def bucket_keys(fp: Column, blocks: int, choose: int) -> Column:
     return F.array(*keys)
 
 
-def close(fps: np.ndarray, groups: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of places a < b of one group of which the fingerprints differ in at most radius bits, in lots of bounded size.
+def close(fps: np.ndarray, groups: np.ndarray, radius: int = RADIUS, units: int = UNITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places a < b of one group of which the fingerprints differ in at most radius bits, in lots of 64 * units at most.
 
     groups: equal numbers stand together. The words of planes never span groups.
     """
@@ -125,7 +125,7 @@ def close(fps: np.ndarray, groups: np.ndarray, radius: int = RADIUS) -> Iterator
     begin = 0
     upto = np.cumsum(meets)
     while begin < n:
-        end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + UNITS, side="right")))
+        end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + units, side="right")))
         many = meets[begin:end]
         query = np.repeat(np.arange(begin, end), many)
         word = np.repeat(slot[begin:end] // 64, many) + np.arange(len(query)) - np.repeat(np.cumsum(many) - many, many)
