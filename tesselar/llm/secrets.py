@@ -146,9 +146,10 @@ def candidates(df: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
         for number, clause in enumerate(trigram_query(rule.pattern)):
             asked += [(rule.kind, number, t, 1 << i, (1 << len(clause)) - 1) for i, t in enumerate(sorted(clause))]
     query = spark.createDataFrame(asked, "kind string, clause int, trigram string, bit long, whole long")
-    low = F.lower(F.coalesce("text", F.lit("")))
-    present = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in sorted({a[2] for a in asked})]))
-    postings = df.select("key", F.explode(present).alias("trigram"))
+    # The text is lower-cased once, in a projection of its own, and looked through for one trigram after another.
+    low = df.select("key", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    present = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in sorted({a[2] for a in asked})]))
+    postings = low.select("key", F.explode(present).alias("trigram"))
     # The query has a fixed number of rows, by the rules alone.
     met = postings.join(F.broadcast(query), "trigram").groupBy("key", "kind", "clause", "whole").agg(F.bit_or("bit").alias("bits")).where("bits = whole")
     return met.groupBy("key").agg(F.collect_set("kind").alias("kinds"))
