@@ -1,8 +1,8 @@
 """Benchmark decontamination, by DataFrame functions only.
 
 The benchmark's windows of WINDOW normalised words (of a shorter item, all its words) are a set of n-grams. Its
-hashes go to the scan as a bitmap of bounded size; a training window of which the bit is set is a candidate and takes
-its words along. Candidates are verified against the n-grams themselves, broadcast if they are few, else joined by
+hashes go to the scan as a Bloom filter of bounded size; a training window of which the hash is in it is a candidate and
+takes its words along. Candidates are verified against the n-grams themselves, broadcast if they are few, else joined by
 shuffle. Hits give the words covered and the items met; documents or spans are then removed.
 
 Null texts have no words, nor have null items windows. Items with a null id cover words but are not counted as items.
@@ -18,15 +18,36 @@ from pyspark.sql import functions as F
 from tesselar.llm import common
 
 WINDOW, MIN_ITEMS = 8, 2
-#: What separates words, before A-Z are lower-cased: ASCII less digits and letters.
+#: What words are made of before A-Z are lower-cased, and what separates them: ASCII less digits and letters.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-MIN_BITS, MAX_BITS = 12, 23  # as powers of two; 64 bits for each n-gram in between
+SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BROADCAST_GRAMS = 200_000
 BROADCAST_KEYS = 1_000_000
 
 
 def words_of(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0)), common.ascii_lower)
+    return F.array_remove(F.split(common.ascii_lower(F.coalesce(text, F.lit(""))), SEPARATOR), "")
+
+
+def word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda x: F.xxhash64(x))
+
+
+def run_hash(hashes: Column, at: Column, n: int) -> Column:
+    """The hash of n words from a place on, by the words' hashes."""
+    return F.xxhash64(*[F.get(hashes, at + j) for j in range(n)])
+
+
+def hash_of(words: Column, lengths: list[int]) -> Column:
+    """The same of all words of an array that has one of these lengths."""
+    hashes = word_hashes(words)
+    return F.coalesce(*[F.when(F.size(words) == n, run_hash(hashes, F.lit(0), n)) for n in lengths])
+
+
+def runs_in(hashes: Column, n: int, bloom: common.Bloom) -> Column:
+    """The places of runs of n words of which the hash is in the filter."""
+    last = F.size(hashes) - n
+    return F.when(last >= 0, F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: bloom.has(run_hash(hashes, i, n)))).otherwise(F.array().cast("array<int>"))
 
 
 def benchmark_grams(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -37,32 +58,16 @@ def benchmark_grams(items: DataFrame, item_id: str = "item_id", text: str = "tex
     return common.cut(grams.groupBy(F.array_join("g", " ").alias("gram"), F.size("g").alias("len")).agg(F.sort_array(F.collect_set("item")).alias("items")))
 
 
-def _bitmap(grams: DataFrame, n: int) -> tuple[str, int]:
-    """A SQL array of longs with the bits of the n-grams' hashes, and its bits as a power of two. Its size has a bound."""
-    power = min(MAX_BITS, max(MIN_BITS, (64 * n).bit_length()))
-    h = F.xxhash64(F.split("gram", " ")).bitwiseAND((1 << power) - 1)
-    placed = grams.select(h.alias("h")).select(F.expr("cast(h div 64 as int)").alias("cell"), F.expr("shiftleft(1L, cast(h % 64 as int))").alias("bit"))
-    cells = placed.groupBy("cell").agg(F.bit_or("bit").alias("v"))
-    values = [0] * (1 << power - 6)
-    for cell, v in cells.collect():  # at most 2^17 cells
-        values[cell] = v
-    return f"cast(split('{','.join(map(str, values))}', ',') as array<bigint>)", power
-
+CANDIDATES = "array<struct<pos:int,len:int,gram:string>>"
 
-def _candidates(w: Column, lengths: list[int], bitmap: str, power: int) -> Column:
-    """The places, lengths and words of windows of which the hash has its bit set."""
-    table, mask = F.expr(bitmap), (1 << power) - 1
 
-    def of(n: int) -> Column:
-        def marked(i: Column) -> Column:
-            h = F.xxhash64(F.slice(w, i + 1, n)).bitwiseAND(F.lit(mask))
-            return F.getbit(table[F.shiftright(h, 6).cast("int")], h.bitwiseAND(F.lit(63)).cast("int")) == 1
+def _candidates(w: Column, lengths: list[int], bloom: common.Bloom) -> Column:
+    """The places, lengths and words of windows of which the hash is in the filter. Words are hashed once, and windows by these hashes."""
 
-        places = F.filter(F.sequence(F.lit(0), F.size(w) - n), marked)
-        found = F.transform(places, lambda i: F.struct(i.alias("pos"), F.lit(n).alias("len"), F.array_join(F.slice(w, i + 1, n), " ").alias("gram")))
-        return F.when(F.size(w) >= n, found).otherwise(F.array().cast("array<struct<pos:int,len:int,gram:string>>"))
+    def at(hashes: Column, n: int) -> Column:
+        return F.transform(runs_in(hashes, n, bloom), lambda i: F.struct(i.alias("pos"), F.lit(n).alias("len"), F.array_join(F.slice(w, i + 1, n), " ").alias("gram")))
 
-    return F.concat(*[of(n) for n in lengths])
+    return F.transform(F.array(word_hashes(w)), lambda hashes: F.concat(*[at(hashes, n) for n in lengths]))[0]
 
 
 def scan(df: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", min_items: int = MIN_ITEMS) -> DataFrame:
@@ -72,10 +77,10 @@ def scan(df: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "t
     n_grams = grams.count()
     # The words are bound by a lambda, so that they are found once a text and stay a plain array.
     if lengths:
-        bitmap, power = _bitmap(grams, n_grams)
-        found = F.transform(F.array(words_of(F.col("text"))), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _candidates(w, lengths, bitmap, power).alias("c")))
+        bloom = common.Bloom(grams.select(hash_of(F.split("gram", " "), lengths)), n_grams)
+        found = F.transform(F.array(words_of(F.col("text"))), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _candidates(w, lengths, bloom).alias("c")))
     else:
-        found = F.transform(F.array(words_of(F.col("text"))), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.array().cast("array<struct<pos:int,len:int,gram:string>>").alias("c")))
+        found = F.transform(F.array(words_of(F.col("text"))), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.array().cast(CANDIDATES).alias("c")))
     slim = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     rows = slim.select("doc_id", common.row_key("doc_id", "text").alias("key"), found[0].alias("f"))
     rows = common.stash(rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "key", "f.n_words", "f.c"), "windows")
