@@ -11,7 +11,8 @@ mean of the relative distrust of the hosts that it links to; of trust, that of t
 which the distrust exceeds the trust by more than MARGIN is blocked, and so are its pages that no rule fits.
 
 Urls that are null or have no `://` have an empty host and path, fit no rule, are in no graph and are allowed. Null
-html has no links. Repeated rows each get a row, and count as pages of their host. Other columns don't matter.
+html has no links. Repeated rows each get a row, and count as pages of their host. Other columns don't matter. Very long
+urls and pages are read whole.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 from tesselar.llm import common
 
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
-DAMPING, MARGIN, TOLERANCE, MOST_ROUNDS = 0.85, 0.5, 1e-6, 50
+DAMPING, MARGIN, TOLERANCE = 0.85, 0.5, 1e-6
+ROUNDS = 4  # steps between checks of what has moved
 BROADCAST_HOSTS = 200_000
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'>\s]+)"""
 
@@ -52,38 +54,52 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 
 
 def propagate(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """host, trust, distrust. seeds: host, allowed, blocked (shares from 0 to 1); edges: src, dst, n."""
+    """host, trust, distrust, and most_trust and most_distrust: the same if every host is a whole seed.
+
+    seeds: host, allowed, blocked (shares from 0 to 1) of all hosts that count; edges: src, dst, n. Steps go on until none
+    of the numbers moves by more than TOLERANCE in ROUNDS of them, which DAMPING makes sure of: what a step changes is at
+    most DAMPING times what the one before did. All four are then within 3 * TOLERANCE of their limits.
+    """
     out_of, into = edges.groupBy("src").agg(F.sum("n").alias("all")), edges.groupBy("dst").agg(F.sum("n").alias("all"))
     ahead = edges.join(out_of, "src").select(F.lit("trust").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), (F.col("n") / F.col("all")).alias("w"))
     back = edges.join(into, "dst").select(F.lit("distrust").alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b"), (F.col("n") / F.col("all")).alias("w"))
     flow = common.cut(ahead.unionByName(back))
-    given = seeds.select("host", F.explode(F.create_map(F.lit("trust"), F.col("allowed"), F.lit("distrust"), F.col("blocked")))).select(F.col("key").alias("kind"), F.col("host").alias("a"), ((1 - DAMPING) * F.col("value")).alias("seed")).where("seed > 0")
-    given = common.cut(given)
-    score = given.withColumnRenamed("seed", "s")
-    for _ in range(MOST_ROUNDS):
-        sent = flow.join(score, ["kind", "a"]).groupBy("kind", F.col("b").alias("a")).agg((DAMPING * F.sum(F.col("w") * F.col("s"))).alias("got"))
-        new = given.join(sent, ["kind", "a"], "full").select("kind", "a", (F.coalesce("seed", F.lit(0.0)) + F.coalesce("got", F.lit(0.0))).alias("s"))
-        both = common.cut(new.join(score.withColumnRenamed("s", "old"), ["kind", "a"], "left"))
-        moved = both.agg(F.max(F.abs(F.col("s") - F.coalesce("old", F.lit(0.0))))).first()[0]
-        score = both.drop("old")
+    ends = flow.select("kind", "a").unionByName(flow.select("kind", F.col("b").alias("a"))).distinct()
+    own = seeds.select("host", F.explode(F.create_map(F.lit("trust"), F.col("allowed"), F.lit("distrust"), F.col("blocked")))).select(F.col("key").alias("kind"), F.col("host").alias("a"), F.col("value").cast("double").alias("value"))
+    # Every host, with its share of the seeds, and with a whole one.
+    given = common.cut(own.join(ends, ["kind", "a"], "full").select("kind", "a", ((1 - DAMPING) * F.coalesce("value", F.lit(0.0))).alias("seed")))
+    score = given.select("kind", "a", F.col("seed").alias("s"), F.lit(1 - DAMPING).alias("m"))
+    before = None
+    while True:
+        new = score
+        for _ in range(ROUNDS):
+            got = flow.join(new, ["kind", "a"]).groupBy("kind", F.col("b").alias("a")).agg(F.sum(F.col("w") * F.col("s")).alias("got_s"), F.sum(F.col("w") * F.col("m")).alias("got_m"))
+            grown = lambda own, c: (own + DAMPING * F.coalesce(c, F.lit(0.0))).alias(c[-1])
+            new = given.join(got, ["kind", "a"], "left").select("kind", "a", grown(F.col("seed"), "got_s"), grown(F.lit(1 - DAMPING), "got_m"))
+        both = common.cut(new.join(score.select("kind", "a", F.col("s").alias("old_s"), F.col("m").alias("old_m")), ["kind", "a"]))
+        moved = both.agg(F.max(F.greatest(F.abs(F.col("s") - F.col("old_s")), F.abs(F.col("m") - F.col("old_m"))))).first()[0]
+        score, last = both.select("kind", "a", "s", "m"), before
+        before = both
+        if last is not None:
+            common.discard(last)
         if not moved or moved <= TOLERANCE:
             break
-    return score.groupBy(F.col("a").alias("host")).agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("s"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")])
+    of = lambda c, kind, base: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col(c))), F.lit(base))
+    return score.groupBy(F.col("a").alias("host")).agg(of("s", "trust", 0.0).alias("trust"), of("s", "distrust", 0.0).alias("distrust"), of("m", "trust", 1 - DAMPING).alias("most_trust"), of("m", "distrust", 1 - DAMPING).alias("most_distrust"))
 
 
 def levels(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """host, trust, distrust, from 0 to 1, of every host. seeds and edges as for propagate()."""
     ends = edges.select(F.explode(F.array("src", "dst")).alias("host")).select("host", F.lit(0.0).alias("allowed"), F.lit(0.0).alias("blocked"))
     every = common.cut(seeds.select("host", "allowed", "blocked").unionByName(ends).groupBy("host").agg(F.max("allowed").alias("allowed"), F.max("blocked").alias("blocked")))
-    score = propagate(seeds, edges).select("host", F.col("trust").alias("s_allowed"), F.col("distrust").alias("s_blocked"))
-    most = propagate(every.select("host", F.lit(1.0).alias("allowed"), F.lit(1.0).alias("blocked")), edges).select("host", F.col("trust").alias("m_allowed"), F.col("distrust").alias("m_blocked"))
+    score = propagate(every, edges).select("host", F.col("trust").alias("s_allowed"), F.col("distrust").alias("s_blocked"), F.col("most_trust").alias("m_allowed"), F.col("most_distrust").alias("m_blocked"))
 
     def relative(own: str) -> Column:
-        got, could = F.coalesce(f"s_{own}", F.lit(0.0)) - (1 - DAMPING) * F.col(own), F.col(f"m_{own}") - (1 - DAMPING)
+        got, could = F.col(f"s_{own}") - (1 - DAMPING) * F.col(own), F.col(f"m_{own}") - (1 - DAMPING)
         share = F.when(could > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), got / could))).otherwise(0.0)
         return F.col(own) + (1 - F.col(own)) * share
 
-    known = common.cut(every.join(score, "host", "left").join(most, "host", "left").select("host", "allowed", "blocked", relative("allowed").alias("r_allowed"), relative("blocked").alias("r_blocked")))
+    known = common.cut(every.join(score, "host").select("host", "allowed", "blocked", relative("allowed").alias("r_allowed"), relative("blocked").alias("r_blocked")))
     mean = lambda c: F.sum(F.col("n") * F.col(c)) / F.sum("n")
     ahead = edges.join(known.withColumnRenamed("host", "dst"), "dst").groupBy(F.col("src").alias("host")).agg(mean("r_blocked").alias("l_blocked"))
     back = edges.join(known.withColumnRenamed("host", "src"), "src").groupBy(F.col("dst").alias("host")).agg(mean("r_allowed").alias("l_allowed"))
