@@ -3,11 +3,13 @@
 The text's likelihood under each language comes from hashed trigrams of code points, of which the probabilities are
 fitted on a bounded sample of labelled documents. The language that markup declares and the address's suffix have
 likelihoods too, and the host a prior; these are learnt from all rows by grouped aggregation of the languages that the
-texts suggest. A host's prior is smoothed towards its domain's, and that towards the whole table's, so that a host
+texts suggest. Documents have no address: their source stands for a host without a domain, apart from any page's host of
+that name. A host's prior is smoothed towards its domain's, and that towards the whole table's, so that a host
 with one page leans on its parents; a row's own text is left out of its host's counts. The posterior is the product.
 
 Null or empty texts have no likelihood of their own, null urls no host and no suffix, null declarations no evidence:
-such rows get what the rest says. Repeated rows each get a row. Ties go to the language that comes first by name.
+such rows get what the rest says. Repeated rows each get a row. Ties go to the language that comes first by name. Very
+long texts are read whole; a text takes some 30 bytes a code point. Without labels the one language is `und`.
 """
 
 from __future__ import annotations
@@ -98,7 +100,7 @@ def with_likelihood(df: DataFrame, model: tuple[list[str], np.ndarray], text: st
             out.append((shared.value[at].mean(axis=0, dtype=np.float64) * min(len(at), TEXT_WEIGHT)).tolist() if len(at) else [0.0] * len(languages))
         return [pa.array(out, pa.list_(pa.float64()))]
 
-    return common.without(common.append_arrow(df, text, [T.StructField("ll", T.ArrayType(T.DoubleType()))], made), [text])
+    return common.append_arrow(df, text, [T.StructField("ll", T.ArrayType(T.DoubleType()))], made, drop=True)
 
 
 def _zip_sum(*arrays: Column) -> Column:
@@ -110,9 +112,9 @@ def _best(ll: Column) -> Column:
     return F.array_position(ll, F.array_max(ll)).cast("int") - 1
 
 
-def _counts(rows: DataFrame, by: str, k: int) -> DataFrame:
-    """by, n: an array of rows by the language that the text suggests."""
-    return rows.groupBy(by).agg(*[F.sum((F.col("best") == i).cast("double")).alias(f"n{i}") for i in range(k)]).select(by, F.array(*[f"n{i}" for i in range(k)]).alias(f"n_{by}"))
+def _counts(rows: DataFrame, by: list[str], k: int) -> DataFrame:
+    """The columns by, and n_ of the first of them: an array of rows by the language that the text suggests."""
+    return rows.groupBy(*by).agg(*[F.sum((F.col("best") == i).cast("double")).alias(f"n{i}") for i in range(k)]).select(*by, F.array(*[f"n{i}" for i in range(k)]).alias(f"n_{by[0]}"))
 
 
 def _bounded(df: DataFrame) -> DataFrame:
@@ -133,12 +135,13 @@ def fuse(rows: DataFrame, languages: list[str]) -> DataFrame:
     totals = F.array(*[F.lit(n + 1.0) for n in root])
     like = {}
     for by in ("declared", "suffix"):  # log P(value | language), towards P(value)
-        n = _counts(seen.where(F.col(by) != ""), by, k)
+        n = _counts(seen.where(F.col(by) != ""), [by], k)
         share = F.aggregate(f"n_{by}", F.lit(0.0), lambda a, x: a + x) / F.lit(sum(root) + 1.0)
         like[by] = _bounded(n.select(by, F.zip_with(f"n_{by}", totals, lambda x, t: F.log((x + SMOOTH * F.greatest(share, F.lit(1e-9))) / (t + SMOOTH))).alias(f"l_{by}")))
-    domains = _counts(seen.where("host <> ''"), "domain", k)
-    hosts = _counts(seen.where("host <> ''"), "host", k).join(seen.where("host <> ''").select("host", "domain").distinct(), "host").join(domains, "domain").select("host", "n_host", "n_domain")
-    joined = rows.join(like["declared"], "declared", "left").join(like["suffix"], "suffix", "left").join(_bounded(hosts), "host", "left")
+    # A host is known by its name and domain together: a source that is named like a host has no domain, and stays apart.
+    placed = seen.where("host <> ''")
+    hosts = _counts(placed, ["host", "domain"], k).join(_counts(placed, ["domain"], k), "domain").select("host", "domain", "n_host", "n_domain")
+    joined = rows.join(like["declared"], "declared", "left").join(like["suffix"], "suffix", "left").join(_bounded(hosts), ["host", "domain"], "left")
     zero = F.array(*[F.lit(0.0)] * k)
     own = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.when(F.col("best") == i, 1.0).otherwise(0.0))
     others = lambda n: F.zip_with(F.coalesce(n, zero), own, lambda x, o: F.greatest(x - o, F.lit(0.0)))

@@ -46,6 +46,53 @@ def test_evidence_is_bayesian(spark):
     assert got[0]["lang"] == "x" and got[0]["confidence"] == pytest.approx(p[0] / p.sum(), abs=1e-5)
 
 
+def brute_fuse(rows, k):
+    """The posterior of every row from the docstring's words, in plain Python."""
+    best = [int(np.argmax(r[5])) if max(r[5]) > min(r[5]) else None for r in rows]
+    seen = [(r, b) for r, b in zip(rows, best, strict=True) if b is not None]
+    count = lambda keep: np.array([sum(1.0 for r, b in seen if b == i and keep(r)) for i in range(k)])
+    root = count(lambda r: True)
+    prior = (root + langid.SMOOTH) / (root.sum() + langid.SMOOTH * k)
+    out = {}
+    for r, b in zip(rows, best, strict=True):
+        log = np.array(r[5])
+        for at in (1, 4):
+            value = r[at]
+            if value and (n := count(lambda x, at=at, value=value: x[at] == value)).sum():
+                share = max(n.sum() / (root.sum() + 1), 1e-9)
+                log = log + np.log((n + langid.SMOOTH * share) / (root + 1 + langid.SMOOTH))
+        own = np.array([float(b == i) for i in range(k)])
+        named = bool(r[2])
+        d = count(lambda x, r=r: bool(x[2]) and x[3] == r[3]) if named else np.zeros(k)
+        h = count(lambda x, r=r: x[2] == r[2] and x[3] == r[3]) if named else np.zeros(k)
+        if not h.sum():
+            d = np.zeros(k)  # a host of which no text says anything has no counts
+        d, h = np.maximum(d - own, 0), np.maximum(h - own, 0)
+        pd = (d + langid.DOMAIN_WEIGHT * prior) / (d.sum() + langid.DOMAIN_WEIGHT)
+        log = log + np.log((h + langid.HOST_WEIGHT * pd) / (h.sum() + langid.HOST_WEIGHT))
+        out[r[0]] = (int(np.argmax(log)), 1 / np.exp(log - log.max()).sum())
+    return out
+
+
+def test_every_row_once_and_as_by_brute_force(spark):
+    """Pages and documents together, with a source that is named like a page's host."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(300):
+        page = i % 2
+        host = str(rng.choice(["a.example.com", "b.example.com", "example.com", "x.org", ""]))
+        domain = ".".join(host.split(".")[-2:]) if page else ""
+        suffix = host.split(".")[-1] if page else ""
+        ll = [0.0] * 3 if i % 17 == 0 else rng.normal(0, 2, 3).round(3).tolist()
+        rows.append((i, str(rng.choice(["xx", "yy", ""])) if page else "", host, domain, suffix, ll))
+    rows += [(300, None, None, None, None, [0.0, 0.0, 1.0]), (301, "", "example.com", "example.com", "com", [0.0, 0.0, 0.0]), (302, "", "example.com", "", "", [0.0, 0.0, 0.0])]
+    got, want = fused(spark, ["x", "y", "z"], rows), brute_fuse(rows, 3)
+    df = spark.createDataFrame(rows, "id long, declared string, host string, domain string, suffix string, ll array<double>")
+    assert langid.fuse(df, ["x", "y", "z"]).count() == len(rows) == len(got)
+    for i, (best, confidence) in want.items():
+        assert got[i]["lang"] == "xyz"[best] and got[i]["confidence"] == pytest.approx(confidence, abs=2e-6)
+
+
 def test_declared_and_host_decide_weak_texts(spark):
     rows = [(i, "yy", f"h{i}", "d", "s", [0.0, 5.0]) for i in range(20)] + [(i, "xx", f"g{i}", "e", "t", [5.0, 0.0]) for i in range(20, 40)]
     rows += [(100, "yy", "new", "", "", [0.0, 0.0]), (101, "xx", None, None, None, [0.01, 0.0]), (102, None, "h1", "d", "s", [0.0, 0.0])]
