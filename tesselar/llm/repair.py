@@ -5,14 +5,16 @@ cut into blocks, and each block is a shard's grammar: frequent pairs of symbols
 until no pair is frequent. A block stores its sequence, the two symbols of each rule, and the length that each rule
 expands to: from the running sum of lengths any range of ids is found and expanded alone.
 
-File format: a Parquet table, a row for a block, in the shared folder. part and block give the order; doc_ids and
+File format: a Parquet table, a row for a block, in the shared folder. part and block give the order, before the ids of
+the part before the block; doc_ids and
 doc_ends (ids up to the end of each document, in the block) its documents; rules, lengths and sequence are
 little-endian unsigned 32-bit integers; first_rule is the symbol of the first rule; n_tokens counts the block's ids.
 The counts of pairs are over the whole block. A document is never cut, so a block has BLOCK_IDS ids or one document
 over it.
 
-Null texts are empty and give the end id alone. Null ids of documents come first. Rows with one id come by text; equal
-rows are alike. An empty table gives no blocks.
+Null texts are empty and give the end id alone. Null ids of documents come first. Rows with one id come by their texts'
+hashes; equal rows are alike. An empty table gives no blocks. Very long texts are encoded whole and make a block of their
+own size. Strings of the tokenizer's added tokens in a text become those tokens, as in the library.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from tesselar.llm import common
 
 END = 2
 BLOCK_IDS = 1 << 20
-LEAST_COUNT, MOST_RULES, ROUNDS = 24, 4096, 6  # a pair is frequent from so many times on; new rules in a round; rounds
+LEAST_COUNT, MOST_RULES = 24, 4096  # a pair is frequent from so many times on; new rules in a round
 HASH_BITS = 18
 CACHE_WORDS = 400_000  # a cache is emptied beyond this many entries; results don't depend on it
 JOINED = 64  # new words that go to the library as one text
@@ -39,7 +41,7 @@ CACHED_CHARS = 64
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 OTHER_SPACE = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
-BLOCK_SCHEMA = "part int, block int, doc_ids array<bigint>, doc_ends array<bigint>, first_rule bigint, rules binary, lengths binary, sequence binary, n_tokens bigint"
+BLOCK_SCHEMA = "part int, block int, before bigint, doc_ids array<bigint>, doc_ends array<bigint>, first_rule bigint, rules binary, lengths binary, sequence binary, n_tokens bigint"
 
 
 class Encoder:
@@ -55,7 +57,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]  # the library cuts texts at these
         vocabulary = self.tokenizer.get_vocab()
         self.widths = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)  # a character of a token stands for a byte
         self.widths[list(vocabulary.values())] = [len(t) for t in vocabulary]
@@ -93,10 +95,9 @@ class Encoder:
             if len(x) > CACHED_CHARS:
                 del self.stems[x]
 
-    @staticmethod
-    def plain(text: str) -> bool:
-        """Whether all its spaces stand between visible characters, and line feeds are its only other white space."""
-        return not ("  " in text or " \n" in text or "\n " in text or text[-1:] == " " or any(c in text for c in OTHER_SPACE))
+    def plain(self, text: str) -> bool:
+        """Whether all its spaces stand between visible characters, line feeds are its only other white space, and it has no added token."""
+        return not (any(t in text for t in self.added) or "  " in text or " \n" in text or "\n " in text or text[-1:] == " " or any(c in text for c in OTHER_SPACE))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
@@ -119,45 +120,60 @@ class Encoder:
         return out
 
 
+def _frequent(seq: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Frequent pairs (as 64-bit keys), where they stand, and which of them stands there. None only if no pair is frequent."""
+    a, b = seq[:-1], seq[1:]
+    bucket = ((a * np.uint32((0x9E3779B1 + 2 * k) & 0xFFFFFFFF) ^ b * np.uint32((0x85EBCA77 + 2 * k) & 0xFFFFFFFF)) * np.uint32(0x27D4EB2F) >> np.uint32(32 - HASH_BITS)).astype(np.int64)
+    # A pair is as rare as its bucket. Each well-filled bucket first stands for one pair of its own, counted exactly.
+    at = np.flatnonzero(np.bincount(bucket, minlength=1 << HASH_BITS)[bucket] >= LEAST_COUNT)
+    if not len(at):
+        return np.zeros(0, np.uint64), at, at
+    bucket = bucket[at]
+    keys = a[at].astype(np.uint64) << np.uint64(32) | b[at]
+    pair = np.zeros(1 << HASH_BITS, dtype=np.uint64)
+    pair[bucket] = keys
+    own = pair[bucket] == keys
+    counts = np.bincount(bucket[own], minlength=1 << HASH_BITS)
+    if (counts >= LEAST_COUNT).any():
+        at, which, found = at[own], bucket[own], pair
+    else:  # a frequent pair may still hide behind its bucket's
+        found, which = np.unique(keys, return_inverse=True)
+        counts = np.bincount(which)
+    frequent = np.flatnonzero(counts >= LEAST_COUNT)
+    if len(frequent) > MOST_RULES:
+        frequent = np.sort(frequent[np.argsort(-counts[frequent], kind="stable")[:MOST_RULES]])
+    rule = np.full(len(counts), -1, dtype=np.int64)
+    rule[frequent] = np.arange(len(frequent))
+    which = rule[which]
+    return found[frequent], at[which >= 0], which[which >= 0]
+
+
 def compress(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The sequence, the rules (two columns of symbols) and what each expands to in length."""
+    """The sequence, the rules (two columns of symbols) and what each expands to in length.
+
+    Frequent pairs, the MOST_RULES most frequent first, become rules until no pair stands LEAST_COUNT times.
+    """
     seq = ids.astype(np.uint32)
     rules = np.zeros((0, 2), dtype=np.uint32)
     lengths = np.zeros(0, dtype=np.int64)
-    for k in range(ROUNDS):
-        if len(seq) < 2:
-            break
-        a, b = seq[:-1], seq[1:]
-        bucket = ((a * np.uint32(0x9E3779B1 + 2 * k) ^ b * np.uint32(0x85EBCA77 + 2 * k)) * np.uint32(0x27D4EB2F) >> np.uint32(32 - HASH_BITS)).astype(np.int64)
-        # A pair is as rare as its bucket. Each well-filled bucket stands for one pair of its own, counted exactly;
-        # others in it have another bucket in the next round.
-        at = np.flatnonzero(np.bincount(bucket, minlength=1 << HASH_BITS)[bucket] >= LEAST_COUNT)
-        bucket = bucket[at]
-        keys = a[at].astype(np.uint64) << np.uint64(32) | b[at]
-        pair = np.zeros(1 << HASH_BITS, dtype=np.uint64)
-        pair[bucket] = keys
-        own = pair[bucket] == keys
-        at, bucket = at[own], bucket[own]
-        counts = np.bincount(bucket, minlength=1 << HASH_BITS)
-        frequent = np.flatnonzero(counts >= LEAST_COUNT)
-        if not len(frequent):
+    k = 0
+    while len(seq) > 1:
+        pairs, at, chosen = _frequent(seq, k)
+        if not len(pairs):
             break
-        if len(frequent) > MOST_RULES:
-            frequent = np.sort(frequent[np.argsort(-counts[frequent], kind="stable")[:MOST_RULES]])
-        rule = np.full(1 << HASH_BITS, -1, dtype=np.int64)
-        rule[frequent] = np.arange(len(frequent))
-        chosen = rule[bucket]
-        at, chosen = at[chosen >= 0], chosen[chosen >= 0]
-        pairs = pair
         # Of pairs that overlap every second one, from the left.
         runs = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1] + 1]))
         nth = np.arange(len(at)) - np.repeat(runs, np.diff(np.concatenate([runs, [len(at)]])))
         at, chosen = at[nth % 2 == 0], chosen[nth % 2 == 0]
+        used, chosen = np.unique(chosen, return_inverse=True)
         seq[at] = first + len(rules) + chosen
-        seq = np.delete(seq, at + 1)
-        new = np.stack([pairs[frequent] >> np.uint64(32), pairs[frequent] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
+        keep = np.ones(len(seq), dtype=bool)
+        keep[at + 1] = False
+        seq = seq[keep]
+        new = np.stack([pairs[used] >> np.uint64(32), pairs[used] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
         lengths = np.concatenate([lengths, _lengths(new, first, lengths).sum(axis=1)])
         rules = np.concatenate([rules, new])
+        k += 1
     return seq, rules, lengths
 
 
@@ -223,45 +239,44 @@ def write(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text")
     def run(batches):
         encoder = _encoder(shared.value)
         first = encoder.tokenizer.get_vocab_size()
-        part, number, held, size, docs = TaskContext.get().partitionId(), 0, [], 0, []
+        part, number, before, held, size, docs = TaskContext.get().partitionId(), 0, 0, [], 0, []
 
         def block():
             ids = np.concatenate(held)
             seq, rules, lengths = compress(ids, first)
             ends = np.cumsum([len(x) for x in held])
-            row = [part, number, docs, ends.tolist(), first, rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), seq.astype("<u4").tobytes(), len(ids)]
-            kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+            row = [part, number, before, docs, ends.tolist(), first, rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), seq.astype("<u4").tobytes(), len(ids)]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[f.split()[0] for f in BLOCK_SCHEMA.split(", ")])
 
-        for batch in batches:
-            texts = common.strings(batch.column(1))
-            for k in range(0, len(texts), 256):
-                for i, raw in zip(batch.column(0)[k : k + 256].to_pylist(), encoder.encode(texts[k : k + 256]), strict=True):
-                    ids = np.frombuffer(raw + END.to_bytes(4, "little"), dtype="<u4")
-                    if held and size + len(ids) > BLOCK_IDS:
-                        yield block()
-                        number, held, size, docs = number + 1, [], 0, []
-                    held.append(ids)
-                    docs.append(i)
-                    size += len(ids)
+        for batch in common.slices(batches, 1):
+            for i, raw in zip(batch.column(0).to_pylist(), encoder.encode(common.strings(batch.column(1))), strict=True):
+                ids = np.frombuffer(raw + END.to_bytes(4, "little"), dtype="<u4")
+                if held and size + len(ids) > BLOCK_IDS:
+                    yield block()
+                    number, before, held, size, docs = number + 1, before + size, [], 0, []
+                held.append(ids)
+                docs.append(i)
+                size += len(ids)
         if held:
             yield block()
 
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    common.bounded_batches(df.sparkSession)
+    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
+    # By the hash too, so that rows of one id, or of none, are split.
+    ordered = rows.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
     return common.stash(ordered.mapInArrow(run, BLOCK_SCHEMA), "token-blocks")
 
 
 def read(blocks: DataFrame) -> DataFrame:
     """doc_id, part, start (ids of the part before the document), n_tokens, ids binary, of every document in the blocks."""
     spark = blocks.sparkSession
-    sizes = blocks.select("part", "block", "n_tokens").groupBy("part").agg(F.sort_array(F.collect_list(F.struct("block", "n_tokens"))).alias("b"))
+    common.bounded_batches(spark)
     start, starts = 0, []
-    for part, b in sorted((r["part"], r["b"]) for r in sizes.collect()):  # a row for each task that wrote, a number for each block
-        for x in b:
-            starts.append((part, x["block"], start))
-            start += x["n_tokens"]
-    before = spark.createDataFrame(starts, "part int, block int, before bigint")
+    for part, n in sorted(map(tuple, blocks.groupBy("part").agg(F.sum("n_tokens")).collect())):  # a row for each task that wrote
+        starts.append((part, start))
+        start += n
+    first = F.broadcast(spark.createDataFrame(starts, "part int, part_start bigint"))
 
     def run(batches):
         for batch in batches:
@@ -275,11 +290,11 @@ def read(blocks: DataFrame) -> DataFrame:
                 for k in range(0, len(ends), 1024):
                     pairs = list(zip(begins[k : k + 1024], ends[k : k + 1024], strict=True))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(row["doc_ids"][k : k + 1024], pa.int64()), pa.array([row["before"] + a for a, _ in pairs], pa.int64()), pa.array([b - a for a, b in pairs], pa.int64()), pa.array([ids[a:b].tobytes() for a, b in pairs], pa.binary())],
+                        [pa.array(row["doc_ids"][k : k + 1024], pa.int64()), pa.array([row["part_start"] + row["before"] + a for a, _ in pairs], pa.int64()), pa.array([b - a for a, b in pairs], pa.int64()), pa.array([ids[a:b].tobytes() for a, b in pairs], pa.binary())],
                         names=["doc_id", "start", "n_tokens", "ids"],
                     )
 
-    return blocks.join(F.broadcast(before), ["part", "block"]).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return blocks.join(first, "part").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

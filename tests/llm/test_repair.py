@@ -14,9 +14,7 @@ PATH = P.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def test_encoder(library):
@@ -25,6 +23,7 @@ def test_encoder(library):
     rng = random.Random(2)
     alphabet = "ab Zé'strevlmd  \n\t\r　12٣!?.,'\x00中😀\x1c\x85́Åǅ;-_"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(4000)]
+    texts += ["x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|><|endoftext|> b", "<|endoftext| >"] + [f"left {t} right" for t in e.added]
     texts += ["", "word. word, word's <|endoftext|> don't it's.", " lead", "trail ", "x" * 500 + " " + "y" * 500 + "..."]
     for text, raw in zip(texts, e.encode(texts), strict=True):
         assert np.frombuffer(raw, dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
@@ -45,6 +44,19 @@ def test_round_trip(n, high):
         assert len(seq) + 3 * len(rules) < 0.75 * n
 
 
+@pytest.mark.parametrize("bits", [4, 18])
+def test_no_frequent_pair_stays(monkeypatch, bits):
+    """Also where pairs hide behind others of their hash."""
+    monkeypatch.setattr(repair, "HASH_BITS", bits)
+    monkeypatch.setattr(repair, "MOST_RULES", 5)
+    rng = np.random.default_rng(bits)
+    ids = np.concatenate([np.tile(rng.integers(0, 9, 30), 40), rng.integers(0, 12, 3000), np.zeros(700)]).astype(np.uint32)
+    seq, rules, lengths = repair.compress(ids, 100)
+    _, counts = np.unique(np.stack([seq[:-1], seq[1:]]), axis=1, return_counts=True)
+    assert counts.max() < repair.LEAST_COUNT and len(rules) > 5
+    assert np.array_equal(repair.expand(seq, rules, lengths, 100), ids)
+
+
 def test_query(spark, duck, library, monkeypatch):
     monkeypatch.setattr(repair, "BLOCK_IDS", 5000)
     docs = duck.execute("SELECT doc_id, text FROM documents ORDER BY doc_id").fetchall()
@@ -57,6 +69,17 @@ def test_query(spark, duck, library, monkeypatch):
     assert len(got) == len(docs)
 
 
+def test_special_strings_and_equal_ids(spark, library):
+    """Added tokens' strings as the library has them; many rows without an id, in any number of parts."""
+    texts = ["x <|endoftext|> y", None, "plain text"] + [f"nameless {i}" for i in range(300)]
+    df = spark.createDataFrame([(5, texts[0]), (1, texts[1]), (5, texts[2])] + [(None, t) for t in texts[3:]], "doc_id long, text string").repartition(7)
+    rows = sorted(repair.read(repair.write(df, PATH)).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in rows] == [None] * 300 + [1, 5, 5]
+    want = sorted([*library.encode(t or "", add_special_tokens=False).ids, 2] for t in texts)
+    assert sorted(np.frombuffer(r["ids"], dtype="<u4").tolist() for r in rows) == want
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(rows, rows[1:], strict=False))
+
+
 def test_hard_rows(nasty, empty, library):
     rows = repair.read(repair.write(nasty, PATH)).collect()
     assert len(rows) == nasty.count()
