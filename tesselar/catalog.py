@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesselar.queries import basics, code, graphs, reviews, searches
+from tesselar.queries import basics, code, graphs, reviews, searches, systems
 from tesselar.queries.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "code", "flagship", "graphs", "reviews", "searches"]
+__all__ = ["ORACLES", "QUERIES", "code", "flagship", "graphs", "reviews", "searches", "systems"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,14 +15,22 @@ from tesselar.operators import joins
 TYPE_LABELS = ["Struct", "Enum", "Trait", "TypeAlias"]
 CALLABLE = ["Function", "Method"]
 
-# What the language's own macros expand to.
+# What macros, and in other languages the decorators and hooks that stand for them, expand to.
 MACROS = {
     "rust": {
         "println": ["std::io::_print", "std::fmt::Arguments::new_v1"], "eprintln": ["std::io::_eprint", "std::fmt::Arguments::new_v1"], "print": ["std::io::_print"], "eprint": ["std::io::_eprint"],
         "format": ["std::fmt::format"], "write": ["std::fmt::Write::write_fmt"], "writeln": ["std::fmt::Write::write_fmt"], "vec": ["alloc::vec::Vec::from_elem"], "panic": ["std::rt::begin_panic"],
         "assert": ["std::rt::begin_panic"], "assert_eq": ["std::rt::begin_panic"], "assert_ne": ["std::rt::begin_panic"], "unreachable": ["std::rt::begin_panic"], "todo": ["std::rt::begin_panic"], "unimplemented": ["std::rt::begin_panic"],
         "matches": ["core::matches"], "dbg": ["std::io::_eprint"], "include_str": ["core::include_str"],
-    }
+    },
+    "python": {
+        "dataclass": ["dataclasses.dataclass"], "property": ["builtins.property"], "staticmethod": ["builtins.staticmethod"], "classmethod": ["builtins.classmethod"],
+        "cached_property": ["functools.cached_property"], "lru_cache": ["functools.lru_cache"], "wraps": ["functools.wraps"], "abstractmethod": ["abc.abstractmethod"],
+    },
+    "typescript": {
+        "Component": ["@angular/core.Component"], "Injectable": ["@angular/core.Injectable"], "NgModule": ["@angular/core.NgModule"], "Pipe": ["@angular/core.Pipe"], "Directive": ["@angular/core.Directive"],
+        "Input": ["@angular/core.Input"], "Output": ["@angular/core.Output"], "useState": ["react.useState"], "useEffect": ["react.useEffect"], "useMemo": ["react.useMemo"], "useCallback": ["react.useCallback"],
+    },
 }
 
 
@@ -128,7 +136,8 @@ def field_uses(graph: PropertyGraph) -> DataFrame:
 
 
 def macro_rules(spark: SparkSession, language: str = "rust") -> DataFrame:
-    return spark.createDataFrame([(f"{name}!", path) for name, paths in MACROS.get(language, {}).items() for path in paths], "callee_name string, canonical_path string")
+    mark = "!" if language == "rust" else ""
+    return spark.createDataFrame([(f"{name}{mark}", path) for name, paths in MACROS.get(language, {}).items() for path in paths], "callee_name string, canonical_path string")
 
 
 def macros(graph: PropertyGraph, language: str = "rust") -> tuple[DataFrame, DataFrame]:

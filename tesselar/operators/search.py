@@ -126,10 +126,35 @@ def boosted(hits: DataFrame, communities: DataFrame, processes: DataFrame, per_c
     return joined.withColumn("score", F.col("score") + small + per_process * F.least(F.coalesce("processes", F.lit(0)), F.lit(MOST_PROCESSES)))
 
 
-def hybrid(docs: DataFrame, query: str, limit: int, communities: DataFrame, processes: DataFrame, min_score: float = 0.0, key: str = "qualified_name", label: str | None = None, legacy_order: bool = False) -> DataFrame:
-    """key, score: both rankings fused, raised, cut off and put in order of the final score (legacy_order: of the fused one)."""
-    by_words = bm25(index(docs, key, ["name", "qualified_name"]), query, limit * 3)
-    by_weight = cosine(*tfidf(docs, key, document_words()), query, limit * 3)
+@dataclass(frozen=True)
+class SearchIndex:
+    """What hybrid() reads: the words' postings, and the weights, vocabulary and norms."""
+
+    words: Index
+    weights: DataFrame
+    vocabulary: DataFrame
+    norms: DataFrame
+
+    @staticmethod
+    def build(docs: DataFrame, key: str) -> SearchIndex:
+        return SearchIndex(index(docs, key, ["name", "qualified_name"]), *tfidf(docs, key, document_words()))
+
+    def write(self, path: str) -> None:
+        """Weights and vocabulary are sorted by term within files, norms by key: a query reads few row groups."""
+        self.words.write(path)
+        for name, df, by in (("weights", self.weights, "term"), ("vocabulary", self.vocabulary, "term"), ("norms", self.norms, "key")):
+            df.repartitionByRange(by).sortWithinPartitions(by).write.mode("overwrite").parquet(f"{path}/{name}")
+
+    @staticmethod
+    def read(spark: SparkSession, path: str) -> SearchIndex:
+        return SearchIndex(Index.read(spark, path), *[spark.read.parquet(f"{path}/{name}") for name in ("weights", "vocabulary", "norms")])
+
+
+def hybrid(docs: DataFrame, query: str, limit: int, communities: DataFrame, processes: DataFrame, min_score: float = 0.0, key: str = "qualified_name", label: str | None = None, legacy_order: bool = False, built: SearchIndex | None = None) -> DataFrame:
+    """key, score: both rankings fused, raised, cut off and put in order of the final score (legacy_order: of the fused one). built: the index of docs, else it is made."""
+    known = built or SearchIndex.build(docs, key)
+    by_words = bm25(known.words, query, limit * 3)
+    by_weight = cosine(known.weights, known.vocabulary, known.norms, query, limit * 3)
     fused = fuse([ranked(by_words, limit * 3), ranked(by_weight, limit * 3)], limit * 2).withColumn("fused", F.col("score"))
     if label:
         fused = fused.join(docs.where(F.lower("label") == label.lower()).select(F.col(key).alias("key")), "key", "left_semi")

@@ -154,7 +154,7 @@ def best_match_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-WITH asked AS (SELECT l_orderkey, l_linenumber, l_suppkey, p_name, p_brand FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 1),
+WITH asked AS (SELECT l_orderkey, l_linenumber, l_suppkey, p_name, p_brand FROM lineitem JOIN part ON p_partkey = l_partkey),
 by_supplier AS (SELECT l_suppkey, p_name AS name, min(l_partkey) AS id, count(DISTINCT l_partkey) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_suppkey, p_name),
 by_brand AS (SELECT p_brand AS brand, p_name AS name, min(p_partkey) AS id, count(*) AS n FROM part GROUP BY p_brand, p_name),
 global AS (SELECT p_name AS name, min(p_partkey) AS id, count(*) AS n FROM part GROUP BY p_name)
@@ -167,7 +167,7 @@ def priority_cascade_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     named = line.join(part, F.col("l_partkey") == F.col("p_partkey"))
     only = lambda df, keys, col: df.groupBy(*keys).agg(F.min(col).alias("id"), F.count_distinct(col).alias("n")).where("n = 1").drop("n")
-    asked = named.where("l_linenumber = 1").select("l_orderkey", "l_suppkey", "p_name", "p_brand")
+    asked = named.select("l_orderkey", "l_suppkey", "p_name", "p_brand")
     out = asked.join(only(named, ["l_suppkey", "p_name"], "l_partkey").withColumnRenamed("id", "s"), ["l_suppkey", "p_name"], "left")
     out = out.join(only(part, ["p_brand", "p_name"], "p_partkey").withColumnRenamed("id", "b"), ["p_brand", "p_name"], "left").join(only(part, ["p_name"], "p_partkey").withColumnRenamed("id", "g"), ["p_name"], "left")
     how = F.when(F.col("s").isNotNull(), "supplier").when(F.col("b").isNotNull(), "brand").when(F.col("g").isNotNull(), "global").otherwise("none")
@@ -181,9 +181,9 @@ def child_of_module_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.children_of(modules, "module", g.scan("Supplier").select("qualified_name", F.col("name").alias("child"))).select("module", "child")
 
 
-@query("SELECT DISTINCT o.l_orderkey AS a, p.l_orderkey AS b FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40) o JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_returnflag = 'N' AND l_quantity > 40) p ON o.l_partkey = p.l_partkey")
+@query("SELECT DISTINCT o.l_orderkey AS a, p.l_orderkey AS b FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_returnflag = 'R') o JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_returnflag = 'N') p ON o.l_partkey = p.l_partkey")
 def shared_attribute_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity > 40")
+    lines = table(spark, sf_dir, "lineitem")
     return joins.sharing(lines, "l_orderkey", "l_returnflag", "l_partkey", "R", "N")
 
 
@@ -259,10 +259,11 @@ def severity_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.tally(flags, "severity", ["critical", "warning", "info"])
 
 
-@query("SELECT round(sum(w * coalesce(s, 0)) / sum(w), 6) AS mean FROM (SELECT p_partkey AS k, p_size::DOUBLE AS w FROM part) LEFT JOIN (SELECT l_partkey AS k, avg(l_discount) AS s FROM lineitem WHERE l_quantity > 45 GROUP BY 1) USING (k)")
+@query("SELECT round(sum(w * coalesce(s, 0)) / sum(w), 6) AS mean FROM (SELECT o_orderkey AS k, (o_custkey % 7 + 1)::DOUBLE AS w FROM orders) LEFT JOIN (SELECT l_partkey AS k, avg(l_discount) AS s FROM lineitem GROUP BY 1) USING (k)")
 def weighted_mean_missing_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("double").alias("w"))
-    scores = table(spark, sf_dir, "lineitem").where("l_quantity > 45").groupBy(F.col("l_partkey").alias("k")).agg(F.avg("l_discount").alias("s"))
+    """Orders' keys as samples, of which only those that are parts' keys too have a score."""
+    weights = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 7 + 1).cast("double").alias("w"))
+    scores = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("k")).agg(F.avg("l_discount").alias("s"))
     return sets.weighted_mean(weights, scores, "k", "w", "s").select(F.round("mean", 6).alias("mean"))
 
 
@@ -310,12 +311,12 @@ def truncate_with_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-WITH b AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01' AND l_quantity > 45), a AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01' AND l_quantity > 45)
-SELECT l_partkey, 'added' AS change FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT l_partkey, 'removed' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)"""
+WITH b AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01'), a AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01')
+SELECT l_orderkey, 'added' AS change FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT l_orderkey, 'removed' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)"""
 )
 def node_set_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity > 45")
-    return sets.difference(lines.where("l_shipdate < timestamp'1998-01-01'"), lines.where("l_shipdate >= timestamp'1998-01-01'"), ["l_partkey"])
+    lines = table(spark, sf_dir, "lineitem")
+    return sets.difference(lines.where("l_shipdate < timestamp'1998-01-01'"), lines.where("l_shipdate >= timestamp'1998-01-01'"), ["l_orderkey"])
 
 
 @query(

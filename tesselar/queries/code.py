@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +63,40 @@ def resolve_source_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What fields' types and macros resolve to; the helpers that are called are not among the files."""
     graph, _ = index.run(_rust(spark, sf_dir))
     return resolve.run(graph, "rust")[0].edges.where("confidence is not null").select("rel", "from_id", "to_id", "confidence")
+
+
+#: For each language an item that stands once for each part (# is its key, % its size), and the labels of its nodes.
+ITEMS = {
+    "typescript": (".ts", "import { A# as B# } from './m#';\nexport interface I# { m(a: number): void }\nexport class K# extends A# implements I# { private n: number = 1; go(): void { helper%(1); } }\nexport enum E# { A, B }\nexport type U# = string;\nexport function f#() { return `function no() {}`; }", ["Import", "Trait", "Method", "Struct", "Field", "Method", "CallSite", "Enum", "Variant", "Variant", "TypeAlias", "Function"]),
+    "java": (".java", "class K# extends A implements I { private int n; public void go() { helper%(); } /* void no() {} */ }\ninterface I# { void m(); }\nenum E# { A, B }", ["Struct", "Constant", "Method", "CallSite", "Trait", "Method", "Enum", "Constant", "Constant"]),
+    "kotlin": (".kt", "class K# : A() { val n: Int = 1\n fun go() { helper%() } }\ninterface I# { fun m() }\nfun f#() { println(\"fun no() {}\") }", ["Struct", "Constant", "Method", "CallSite", "Trait", "Method", "Function", "CallSite"]),
+    "swift": (".swift", "struct K# { var n: Int\n func go() { helper%() } }\nprotocol I# { func m() }\nenum E# { case a, b }\nfunc f#() {} // func no() {}", ["Struct", "Constant", "Method", "CallSite", "Trait", "Method", "Enum", "Constant", "Constant", "Function"]),
+    "objc": (".m", "@interface K# : A\n@property int n#;\n- (void)go;\n@end\nvoid f#(int a) { helper%(a); }", ["Struct", "Method", "Function", "CallSite"]),
+    "c": (".c", "#define M# 1\nstruct s# { int a; char *b; };\nenum e# { X#, Y# };\ntypedef int t#;\nint f#(int a) { return helper%(a); /* g() */ }", ["Struct", "Enum", "Constant", "Constant", "Constant", "Function", "CallSite"]),
+    "cpp": (".cpp", "namespace n# { class K# : public A { public: int a; void go() { helper%(a); } }; }\nint f#() { return 0; }", ["Struct", "Struct", "Constant", "Method", "CallSite", "Function"]),
+    "go": (".go", "type S# struct { A int }\ntype I# interface { M() }\nfunc (s S#) Go() { helper%() }\nfunc F#() { x := \"func no() {}\"; _ = x }", ["Struct", "Trait", "Method", "CallSite", "Function"]),
+}
+
+
+def _written(template: str) -> Column:
+    """The template with a part's key for # and its size for %; a # before a letter stays."""
+    out = F.lit("")
+    for piece in re.split(r"(#(?![a-z])|%)", template):
+        out = F.concat(out, _key() if piece == "#" else F.col("p_size").cast("string") if piece == "%" else F.lit(piece))
+    return out
+
+
+def _parser(language: str) -> None:
+    extension, template, labels = ITEMS[language]
+    listed = ", ".join(f"'{x}'" for x in labels)
+
+    def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = parsing.parse_files(_files(spark, sf_dir, language, extension, _written(template)))
+        return rows.where("record = 'node'").groupBy("file", "label").agg(F.count("*").alias("n"))
+
+    parsed.__name__ = f"parse_{language}_nodes"
+    query(f"SELECT {PATH.format(extension[1:])} AS file, label, count(*) AS n FROM part, (SELECT unnest([{listed}]) AS label) GROUP BY ALL")(parsed)
+
+
+for _language in ITEMS:
+    _parser(_language)

@@ -32,19 +32,19 @@ def unified_diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SYMBOLS = "s AS (SELECT p_partkey AS key, p_brand AS path, p_partkey % 400 AS start_line, p_partkey % 400 + p_size AS end_line FROM part)"
-CHANGED = "c AS (SELECT 'Brand#' || (l_suppkey % 25 + 1) AS path, l_partkey % 450 AS line, count(*) AS times FROM lineitem WHERE l_linenumber = 1 AND l_suppkey % 25 < 20 GROUP BY ALL)"
+CHANGED = "c AS (SELECT 'Brand#' || (l_suppkey % 25 + 1) AS path, l_partkey % 450 AS line, count(*) AS times FROM lineitem WHERE l_suppkey % 25 < 20 GROUP BY ALL)"
 
 
 def _touched(spark: SparkSession, sf_dir: str) -> DataFrame:
     symbols = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.col("p_brand").alias("path"), (F.col("p_partkey") % 400).alias("start_line"), (F.col("p_partkey") % 400 + F.col("p_size")).alias("end_line"))
     brand = F.concat(F.lit("Brand#"), (F.col("l_suppkey") % 25 + 1).cast("string"))
-    changed = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(brand.alias("path"), (F.col("l_partkey") % 450).alias("line"), F.lit(False).alias("is_new"), (F.col("l_suppkey") % 25 >= 20).alias("is_deleted"))
+    changed = table(spark, sf_dir, "lineitem").select(brand.alias("path"), (F.col("l_partkey") % 450).alias("line"), F.lit(False).alias("is_new"), (F.col("l_suppkey") % 25 >= 20).alias("is_deleted"))
     return changes.touched(changed, symbols)
 
 
 @query(
     f"""
-WITH {SYMBOLS}, {CHANGED}, gone AS (SELECT DISTINCT 'Brand#' || (l_suppkey % 25 + 1) AS path FROM lineitem WHERE l_linenumber = 1 AND l_suppkey % 25 >= 20)
+WITH {SYMBOLS}, {CHANGED}, gone AS (SELECT DISTINCT 'Brand#' || (l_suppkey % 25 + 1) AS path FROM lineitem WHERE l_suppkey % 25 >= 20)
 SELECT key, sum(times)::BIGINT AS lines FROM (SELECT key, times FROM c JOIN s ON c.path = s.path AND line BETWEEN start_line AND end_line UNION ALL SELECT key, end_line - start_line + 1 FROM s WHERE path IN (SELECT path FROM gone)) GROUP BY key"""
 )
 def diff_lines_to_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,11 +54,11 @@ def diff_lines_to_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-WITH s AS (SELECT l_partkey AS key, min(l_suppkey % 7) AS community, count(DISTINCT l_suppkey) AS processes FROM lineitem WHERE l_quantity > 48 GROUP BY l_partkey)
+WITH s AS (SELECT l_partkey AS key, min(l_suppkey % 7) AS community, count(DISTINCT l_suppkey) AS processes FROM lineitem GROUP BY l_partkey)
 SELECT round(least(1.0, 0.6 * avg(processes) / greatest(max(processes), 1) + 0.4 * count(DISTINCT community) / 20), 6)::DOUBLE AS risk FROM s"""
 )
 def change_risk_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity > 48")
+    lines = table(spark, sf_dir, "lineitem")
     symbols = lines.groupBy(F.col("l_partkey").alias("key")).agg(F.min(F.col("l_suppkey") % 7).alias("community"), F.count_distinct("l_suppkey").alias("processes"))
     return changes.risk(symbols, 20)
 
@@ -81,10 +81,10 @@ def claim_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.array_join("c", " ").alias("claims"), F.size("c").alias("n"))
 
 
-@query("SELECT 'p:' || l_partkey * 2 AS token, 'critical' AS severity FROM lineitem WHERE l_linenumber = 3 AND l_returnflag <> 'N' AND l_partkey * 2 NOT IN (SELECT p_partkey FROM part)")
+@query("SELECT 'p:' || l_partkey * 2 AS token, 'critical' AS severity FROM lineitem WHERE l_returnflag <> 'N' AND l_partkey * 2 NOT IN (SELECT p_partkey FROM part)")
 def hallucination_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("l_returnflag") == "N", "add").when(F.col("l_returnflag") == "R", "remove").otherwise("modify")
-    claimed = table(spark, sf_dir, "lineitem").where("l_linenumber = 3").select(F.concat(F.lit("p:"), (F.col("l_partkey") * 2).cast("string")).alias("token"), kind.alias("change_kind"))
+    claimed = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p:"), (F.col("l_partkey") * 2).cast("string")).alias("token"), kind.alias("change_kind"))
     return validate.hallucinations(claimed, graph(spark, sf_dir).scan("Part").select(F.col("id").alias("token")))
 
 
@@ -101,32 +101,32 @@ def process_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-WITH n AS (SELECT p_partkey AS symbol, p_brand AS community, CASE WHEN p_size = 7 THEN 'check_token' ELSE p_name END AS name FROM part WHERE p_partkey % 3 = 0)
-SELECT symbol, 'S1' AS gate, 'critical' AS severity FROM n WHERE symbol % 5 = 0 AND community IN (SELECT community FROM n WHERE regexp_matches(lower(name), 'auth|password|token|permission|role|crypto|encrypt|decrypt|verify|jwt|oauth|session'))"""
+WITH n AS (SELECT p_partkey AS symbol, p_brand AS community, CASE WHEN p_size = 7 THEN 'check_token' ELSE p_name END AS name FROM part)
+SELECT symbol, 'S1' AS gate, 'critical' AS severity FROM n WHERE name <> 'check_token' AND community IN (SELECT community FROM n WHERE regexp_matches(lower(name), 'auth|password|token|permission|role|crypto|encrypt|decrypt|verify|jwt|oauth|session'))"""
 )
 def gate_auth_touch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("symbol"), F.col("p_brand").alias("community"), F.when(F.col("p_size") == 7, "check_token").otherwise(F.col("p_name")).alias("name"))
-    return validate.gate_auth(part.where("symbol % 5 = 0").select("symbol"), part.select("symbol", "community"), part.select("symbol", "name"))
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("symbol"), F.col("p_brand").alias("community"), F.when(F.col("p_size") == 7, "check_token").otherwise(F.col("p_name")).alias("name"))
+    return validate.gate_auth(part.where("name <> 'check_token'").select("symbol"), part.select("symbol", "community"), part.select("symbol", "name"))
 
 
-@query("SELECT p_partkey AS symbol, 'S3' AS gate, 'warning' AS severity FROM part WHERE p_partkey % 5 = 0 AND p_size > 25 AND p_type IN ('SMALL', 'ECONOMY')")
+@query("SELECT p_partkey AS symbol, 'S3' AS gate, 'warning' AS severity FROM part WHERE p_size > 25 AND p_type IN ('SMALL', 'ECONOMY')")
 def gate_public_api(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     symbols = part.select(F.col("p_partkey").alias("symbol"), F.when(F.col("p_size") > 25, "pub").otherwise("").alias("visibility"))
-    return validate.gate_public(part.where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("symbol")), symbols, part.where(F.col("p_type").isin("SMALL", "ECONOMY")).select(F.col("p_partkey").alias("symbol")))
+    return validate.gate_public(part.select(F.col("p_partkey").alias("symbol")), symbols, part.where(F.col("p_type").isin("SMALL", "ECONOMY")).select(F.col("p_partkey").alias("symbol")))
 
 
-@query("SELECT p_partkey AS symbol, 'S5' AS gate, 'warning' AS severity FROM part WHERE p_partkey % 2 = 0 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_acctbal > 9000)")
+@query("SELECT p_partkey AS symbol, 'S5' AS gate, 'warning' AS severity FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_acctbal > 9000)")
 def gate_test_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changed = table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("symbol"))
+    changed = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("symbol"))
     tests = table(spark, sf_dir, "supplier").where("s_acctbal > 9000").select(F.col("s_suppkey").alias("process"))
     return validate.gate_tests(changed, table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("symbol"), F.col("l_suppkey").alias("process")), tests)
 
 
-@query("SELECT 'Brand#' || l_suppkey % 25 AS file, 'S4' AS gate, CASE WHEN count(*) >= 2 THEN 'critical' ELSE 'warning' END AS severity FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 49) AND l_quantity > 49 GROUP BY 1")
+@query("SELECT 'Brand#' || l_suppkey % 25 AS file, 'S4' AS gate, CASE WHEN count(*) >= 2 THEN 'critical' ELSE 'warning' END AS severity FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 49) GROUP BY 1")
 def gate_unresolved_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = table(spark, sf_dir, "part").where("p_size < 49").select(F.col("p_partkey").alias("l_partkey"))
-    missing = table(spark, sf_dir, "lineitem").where("l_quantity > 49").join(known, "l_partkey", "left_anti")
+    missing = table(spark, sf_dir, "lineitem").join(known, "l_partkey", "left_anti")
     return validate.gate_imports(missing.select(F.concat(F.lit("Brand#"), (F.col("l_suppkey") % 25).cast("string")).alias("file")))
 
 
@@ -326,12 +326,6 @@ def edge_dedup_first_phase_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.first_phase(edges, edges.where("from_id % 10 = 0 and rel = 'Uses_R'")).select("rel", "from_id", "to_id", "phase", "confidence")
 
 
-@query("WITH c AS (SELECT p_name, count(*) AS n FROM part GROUP BY p_name) SELECT p_partkey, CASE WHEN n = 1 THEN 1.0 ELSE 0.7 END::DOUBLE AS confidence FROM part JOIN c USING (p_name)")
-def import_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part")
-    return part.select("p_partkey", F.when(F.count("*").over(Window.partitionBy("p_name")) == 1, 1.0).otherwise(0.7).alias("confidence"))
-
-
 _TABLES = ", ".join(f"'{r}'" for r in schema.REL_TABLES)
 
 
@@ -366,12 +360,6 @@ def macro_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sites.join(F.broadcast(resolve.macro_rules(spark)), "callee_name").select("event_id", "canonical_path")
 
 
-@query("SELECT l_returnflag AS kind, count(*) AS refs, count(DISTINCT (l_partkey, l_suppkey)) AS edges, round(count(DISTINCT (l_partkey, l_suppkey)) / count(*), 6) AS rate FROM lineitem GROUP BY l_returnflag")
-def resolution_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.count_distinct("l_partkey", "l_suppkey")
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("kind")).agg(F.count("*").alias("refs"), n.alias("edges"), F.round(n / F.count("*"), 6).alias("rate"))
-
-
 @query("SELECT p_partkey, path, first NOT IN ('crate', 'self', 'super') AND NOT starts_with(first, '.') AND first <> '' AND NOT contains(first, '/') AS external FROM (SELECT p_partkey, path, string_split(path, '::')[1] AS first FROM (SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'crate' WHEN 1 THEN 'std' WHEN 2 THEN '.rel' WHEN 3 THEN 'a/b' ELSE 'self' END || '::' || p_name AS path FROM part))")
 def external_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = F.element_at(F.array(*map(F.lit, ["crate", "std", ".rel", "a/b", "self"])), (F.col("p_size") % 5 + 1).cast("int"))

@@ -20,6 +20,7 @@ from tesselar import schema
 from tesselar.functions import text
 from tesselar.graph import PropertyGraph, _rank
 from tesselar.operators import changes, cluster, flows, index, resolve, search, semdiff, sessions, validate
+from tesselar.operators.storage import cut
 from tesselar.plans.cypher import CypherError, compile_query
 from tesselar.sources import documents, files
 
@@ -93,6 +94,21 @@ def _rows(df: DataFrame, n: int = RESULT_ROWS) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.limit(n).collect()]
 
 
+def _listed(names: DataFrame) -> tuple[list[str], int]:
+    """The first of the different names, and how many there are in all."""
+    known = cut(names.where("name is not null").distinct())
+    return [r["name"] for r in _rows(known.orderBy("name"))], known.count()
+
+
+def _tally(df: DataFrame) -> dict[str, int]:
+    """Rows by severity, of all rows; only listings are limited."""
+    return {r["severity"]: r["n"] for r in df.groupBy("severity").agg(F.count("*").alias("n")).collect()}
+
+
+def _added(*tallies: dict[str, int]) -> dict[str, int]:
+    return {s: sum(t.get(s, 0) for t in tallies) for s in validate.SEVERITIES}
+
+
 def _graph(spark: SparkSession, path: str) -> PropertyGraph:
     if not os.path.isdir(f"{path}/nodes"):
         raise ToolError("graph_not_found", f"there is no graph at {path}")
@@ -221,8 +237,11 @@ def abort_verification(spark: SparkSession, run_id: str, finding_id: str, output
 def index_codebase(spark: SparkSession, path: str, output_dir: str, language: str = "auto") -> dict:
     began = time.monotonic()
     target = os.path.join(output_dir, "graph")
+    if os.path.exists(target) and not os.path.isdir(f"{target}/nodes"):
+        raise ToolError("not_a_graph", f"{target} exists and is no graph; it isn't replaced")
     tree = files.read_tree(spark, path, language)
     graph, parsed = index.run(tree)
+    shutil.rmtree(f"{target}/search", ignore_errors=True)  # of the graph before
     graph.write(target)
     parsed.write.mode("overwrite").parquet(f"{target}/parsed")
     kept = _graph(spark, target)
@@ -272,11 +291,19 @@ def _save(spark: SparkSession, graph: PropertyGraph, path: str) -> None:
     spark.catalog.refreshByPath(path)
 
 
-@tool("stage-3b", "graph_path")
-def resolve_graph(spark: SparkSession, graph_path: str) -> dict:
+def _language(g: PropertyGraph) -> str:
+    """The language of most of the graph's files; of as many, the first by name."""
+    most = g.scan("File").where("language is not null").groupBy("language").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "language").first()  # ten languages at most
+    return most["language"] if most else "rust"
+
+
+@tool("stage-3b", "graph_path", "language")
+def resolve_graph(spark: SparkSession, graph_path: str, language: str = "auto") -> dict:
     g = _graph(spark, graph_path)
+    if language == "auto":
+        language = _language(g)
     refs = spark.read.parquet(f"{graph_path}/parsed").where("record = 'ref'").select("kind", "from_qualified_name", "to_qualified_name")
-    done, stats, missing = resolve.run(g, "rust", refs)
+    done, stats, missing = resolve.run(g, language, refs)
     counts = {r["kind"].lower(): r["resolved"] for r in stats.collect()}  # a row for each kind
     asked, unresolved = g.nodes.where(F.col("label").isin("Import", "CallSite", "Field")).count(), missing.count()
     _save(spark, done, graph_path)
@@ -304,13 +331,15 @@ def _calls(g: PropertyGraph) -> DataFrame:
     return g.of_kind("Calls").where(F.col("to_label").isin("Function", "Method")).select(F.col("from_id").alias("a"), F.col("to_id").alias("b"))
 
 
-@tool("stage-3c", "graph_path", "resolution_param")
-def cluster_graph(spark: SparkSession, graph_path: str, resolution_param: float = 1.0) -> dict:
+@tool("stage-3c", "graph_path", "resolution_param method")
+def cluster_graph(spark: SparkSession, graph_path: str, resolution_param: float = 1.0, method: str = "sequential") -> dict:
+    if method not in ("sequential", "rounds"):
+        raise ToolError("invalid_method", f"{method} is neither sequential nor rounds")
     g = _graph(spark, graph_path)
     g = PropertyGraph(g.nodes.where(~F.col("label").isin("Community", "Process")), g.edges.where(~F.col("kind").isin("MemberOf", "EntryPointOf", "ParticipatesIn")))
     nodes = g.scan(*schema.SEARCHABLE).select("label", "id")
     adjacent = cluster.projection(nodes, g.edges)
-    parts = cluster.repaired(cluster.louvain(nodes, adjacent, resolution_param), adjacent)
+    parts = cluster.repaired(cluster.louvain(nodes, adjacent, resolution_param, method), adjacent)
     q = cluster.modularity(parts, adjacent, resolution_param).first()
     rows, member = cluster.communities(parts, resolution_param)
     labels = nodes.select("id", F.col("label").alias("l"))
@@ -353,11 +382,19 @@ def _boosts(g: PropertyGraph) -> tuple[DataFrame, DataFrame]:
     return member.join(sizes, "community_id").select(F.col("id").alias("key"), F.col("community_id").alias("community"), "size"), takes.groupBy(F.col("id").alias("key")).agg(F.count("*").alias("processes"))
 
 
+def _search_index(spark: SparkSession, docs: DataFrame, graph_path: str) -> search.SearchIndex:
+    """The graph's index, which the first search builds and writes; later ones only read it."""
+    path = f"{graph_path}/search"
+    if not os.path.isdir(f"{path}/norms"):
+        search.SearchIndex.build(docs, "id").write(path)
+    return search.SearchIndex.read(spark, path)
+
+
 @tool("stage-3d", "graph_path query", "limit label_filter")
 def search_codebase(spark: SparkSession, graph_path: str, query: str, limit: int = 20, label_filter: str | None = None) -> dict:
     g = _graph(spark, graph_path)
     docs = g.scan(*schema.SEARCHABLE).select("id", "label", "name", "qualified_name", "file", "start_line", "end_line")
-    hits = search.hybrid(docs, query, limit, *_boosts(g), min_score=0.01, key="id", label=label_filter)
+    hits = search.hybrid(docs, query, limit, *_boosts(g), min_score=0.01, key="id", label=label_filter, built=_search_index(spark, docs, graph_path))
     rows = _rows(hits.join(docs.withColumnRenamed("id", "key"), "key").orderBy(F.desc("score"), "key"), limit)
     return {"results": [r | {"score": f"{r['score']:.4f}"} for r in rows], "result_count": len(rows)}
 
@@ -380,8 +417,8 @@ def analyze_codebase(spark: SparkSession, path: str, output_dir: str, language:
     first = index_codebase(spark, path, output_dir, language)
     graph_path = first["graph_path"]
     second, third = resolve_graph(spark, graph_path), cluster_graph(spark, graph_path, resolution_param)
-    docs = _graph(spark, graph_path).scan(*schema.SEARCHABLE).select("id", "name", "qualified_name")
-    search.index(docs, "id", ["name", "qualified_name"]).write(f"{graph_path}/search")
+    docs = _graph(spark, graph_path).scan(*schema.SEARCHABLE).select("id", "label", "name", "qualified_name")
+    _search_index(spark, docs, graph_path)
     return {"index": first, "resolve": second, "cluster": {k: v for k, v in third.items() if k != "clusters"}, "search_index": {"documents": docs.count()}, "lsp_resolve": None, "total_elapsed_ms": int(1000 * (time.monotonic() - began))}
 
 
@@ -402,11 +439,14 @@ def detect_changes(spark: SparkSession, graph_path: str, diff_text: str | None =
     member, takes = _memberships(g)
     per = takes.groupBy("id").agg(F.count("*").alias("processes"), F.collect_set("process").alias("names"))
     joined = hit.withColumnRenamed("key", "id").join(member, "id", "left").join(per, "id", "left").select("id", "lines", F.col("community_id").alias("community"), F.coalesce("processes", F.lit(0)).alias("processes"), "names")
-    rows = _rows(joined.orderBy("id"))
-    communities, processes = sorted({r["community"] for r in rows if r["community"]}), sorted({n for r in rows for n in r["names"] or []})
+    joined = cut(joined)
+    rows = _rows(joined.select("id", "lines").distinct().orderBy("id"))
+    n_symbols = joined.select("id").distinct().count()
+    communities, n_communities = _listed(joined.select(F.col("community").alias("name")))
+    processes, n_processes = _listed(joined.select(F.explode("names").alias("name")))
     risk = changes.risk(joined.withColumnRenamed("id", "key"), g.scan("Community").count()).first()[0]
-    paths = sorted(r["path"] for r in parsed.select("path").distinct().limit(RESULT_ROWS).collect())
-    return {"files_changed": paths, "symbols_affected": [{"qualified_name": r["id"], "lines": r["lines"]} for r in rows], "symbols_affected_count": len(rows), "communities_affected": communities, "communities_affected_count": len(communities), "processes_affected": processes, "processes_affected_count": len(processes), "risk_score": f"{risk or 0:.4f}"}
+    paths, _ = _listed(parsed.select(F.col("path").alias("name")))
+    return {"files_changed": paths, "symbols_affected": [{"qualified_name": r["id"], "lines": r["lines"]} for r in rows], "symbols_affected_count": n_symbols, "communities_affected": communities, "communities_affected_count": n_communities, "processes_affected": processes, "processes_affected_count": n_processes, "risk_score": f"{risk or 0:.4f}"}
 
 
 @tool("stage-4", "run_id finding_id output_dir graph_path")
@@ -456,15 +496,18 @@ def validate_prd_against_graph(spark: SparkSession, prd_path: str, graph_path: s
         claimed = spark.createDataFrame([(a["qualified_name"], a.get("change_kind") or "unknown") for a in contract.get("affected_symbols", [])], "token string, change_kind string")
         excluded = [p for c in contract.get("scope_claims", []) if c.get("kind") == "process_exclusion" for p in c.get("processes", [])]
     known = _known(g)
-    found = _rows(validate.hallucinations(claimed, known, fallback).withColumn("axis", F.lit("symbol_hallucination")))
+    unknown = cut(validate.hallucinations(claimed, known, fallback).withColumn("axis", F.lit("symbol_hallucination")))
+    found, tallies = _rows(unknown), [_tally(unknown)]
     resolved = claimed.join(known, "token").select("token", "id").distinct()
     member, takes = _memberships(g)
     spread = resolved.join(member, "id").agg(F.count_distinct("community_id").alias("n")).first()["n"]
     if spread >= 2:
         found.append({"token": None, "severity": "critical" if spread >= 3 else "warning", "axis": "community_consistency"})
+        tallies.append({found[-1]["severity"]: 1})
     hit = spark.createDataFrame([(p,) for p in excluded], "process string")
-    found += [{"token": r["symbol"], "severity": r["severity"], "axis": "process_impact", "process": r["process"]} for r in _rows(validate.process_axis(hit, resolved.join(takes, "id").select(F.col("id").alias("symbol"), "process")))]
-    counts = {s: sum(f["severity"] == s for f in found) for s in validate.SEVERITIES}
+    impacted = cut(validate.process_axis(hit, resolved.join(takes, "id").select(F.col("id").alias("symbol"), "process")))
+    found += [{"token": r["symbol"], "severity": r["severity"], "axis": "process_impact", "process": r["process"]} for r in _rows(impacted)]
+    counts = _added(*tallies, _tally(impacted))
     status = "fail" if counts["critical"] else "warning" if counts["warning"] else "ok"
     summary = counts | {"symbols_resolved": resolved.select("token").distinct().count(), "communities": spread, "processes_impacted": resolved.join(takes, "id").select("process").distinct().count()}
     report = {"validation_status": status, "extraction_mode": "regex_fallback" if fallback else "structured", "contract_missing": fallback, "summary": summary, "report": {"findings": found}}
@@ -479,7 +522,8 @@ def check_security_gates(spark: SparkSession, graph_path: str, changed_symbols:
     asked = spark.createDataFrame([(s,) for s in changed_symbols], "token string")
     hits = asked.join(_known(g), "token")
     changed = hits.select(F.col("id").alias("symbol")).distinct()
-    flags = [{"symbol": r["token"], "gate": "resolve", "severity": "info"} for r in _rows(asked.join(hits.select("token"), "token", "left_anti"))]
+    unknown = cut(asked.join(hits.select("token"), "token", "left_anti").select(F.col("token").alias("symbol"), F.lit("resolve").alias("gate"), F.lit("info").alias("severity")))
+    flags = _rows(unknown)
     member, takes = _memberships(g)
     membership, participation = member.select(F.col("id").alias("symbol"), F.col("community_id").alias("community")), takes.withColumnRenamed("id", "symbol")
     names = g.scan(*schema.SEARCHABLE).select(F.col("id").alias("symbol"), "name")
@@ -487,14 +531,16 @@ def check_security_gates(spark: SparkSession, graph_path: str, changed_symbols:
     by_file = g.of_kind("Defines").where("from_label = 'File'").select(F.col("to_id").alias("symbol"))
     tests = g.scan("Process").where("entry_kind = 'test'").select(F.col("id").alias("process"))
     gates = validate.gate_auth(changed, membership, names).unionByName(validate.gate_unsafe(changed)).unionByName(validate.gate_public(changed, symbols, by_file)).unionByName(validate.gate_tests(changed, participation, tests))
+    gates = cut(gates)
     flags += _rows(gates.orderBy("gate", "symbol"))
     imported = g.scan("Import").select("file", "path")
     external = text.is_external(F.col("path"))
     done = g.of_kind("Imports").select(F.col("from_id").alias("file"), text.leaf(F.col("to_id")).alias("leaf")).distinct()
     missing = imported.where(~external).withColumn("leaf", text.leaf(F.col("path"))).where("leaf <> '*'").join(done, ["file", "leaf"], "left_anti")
     touched = changed.join(g.nodes.select(F.col("id").alias("symbol"), "file"), "symbol").select("file").distinct()
-    flags += [{"symbol": r["file"], "gate": r["gate"], "severity": r["severity"]} for r in _rows(validate.gate_imports(missing.join(touched, "file", "left_semi")))]
-    counts = {s: sum(f["severity"] == s for f in flags) for s in validate.SEVERITIES}
+    imports = cut(validate.gate_imports(missing.join(touched, "file", "left_semi")))
+    flags += [{"symbol": r["file"], "gate": r["gate"], "severity": r["severity"]} for r in _rows(imports)]
+    counts = _added(_tally(unknown), _tally(gates), _tally(imports))
     report = {"gates_passed": counts["critical"] == 0, "summary": counts, "report": {"flags": flags}}
     if output_dir and run_id and finding_id:
         documents.write_json(os.path.join(_run_dir(output_dir, run_id, finding_id), "stage-8.security.json"), report)

@@ -172,7 +172,39 @@ def test_graph_tools(spark, tmp_path):
     assert call("validate_prd_against_graph", prd_path=str(prd), graph_path=at)["validation_status"] == "fail"
     gates = call("check_security_gates", graph_path=at, changed_symbols=["src/models.rs::helper"])
     assert gates["gates_passed"] and gates["summary"]["info"] == 1
-    assert os.path.isdir(f"{at}/search/postings")
+    assert os.path.isdir(f"{at}/search/norms")
+    (tmp_path / "other" / "graph").mkdir(parents=True)
+    assert call("index_codebase", path=str(tmp_path / "code"), output_dir=str(tmp_path / "other"))["reason"] == "not_a_graph"
+    assert call("cluster_graph", graph_path=at, method="guess")["reason"] == "invalid_method"
+
+
+def test_counts_are_not_limited(spark, tmp_path, monkeypatch):
+    """Only listings are cut off."""
+    monkeypatch.setattr(tools._rows, "__defaults__", (2,))
+    (tmp_path / "code" / "src").mkdir(parents=True)
+    (tmp_path / "code" / "src" / "a.rs").write_text("".join(f"pub fn f{i}() {{}}\n" for i in range(7)))
+    call = lambda name, **a: tools.call(spark, name, a)
+    at = call("index_codebase", path=str(tmp_path / "code"), output_dir=str(tmp_path / "out"))["graph_path"]
+    call("cluster_graph", graph_path=at)
+    diff = "diff --git a/src/a.rs b/src/a.rs\n--- /dev/null\n+++ b/src/a.rs\n@@ -0,0 +1,7 @@\n" + "+x\n" * 7
+    got = call("detect_changes", graph_path=at, diff_text=diff)
+    assert got["symbols_affected_count"] == 7 and len(got["symbols_affected"]) == 2 and got["processes_affected_count"] == 7
+    gates = call("check_security_gates", graph_path=at, changed_symbols=[f"nope{i}" for i in range(5)])
+    assert gates["summary"]["info"] == 5 and len(gates["report"]["flags"]) == 2
+
+
+def test_louvain_is_chosen_by_name(spark, monkeypatch):
+    from tesselar.operators import cluster
+
+    edges = [(a, b, 1.0) for g in ("a", "b") for x in range(4) for y in range(4) if x != y for a, b in [(f"{g}{x}", f"{g}{y}")]] + [("a0", "b0", 0.5), ("b0", "a0", 0.5)]
+    adjacent = spark.createDataFrame(edges, "src string, dst string, w double")
+    nodes = adjacent.select(adjacent.src.alias("id")).distinct()
+    want = {f"{g}{x}": f"{g}0" for g in ("a", "b") for x in range(4)}
+    for method in ("sequential", "rounds"):
+        assert {r["id"]: r["community"] for r in cluster.louvain(nodes, adjacent, method=method).collect()} == want
+    monkeypatch.setattr(cluster, "LOCAL_EDGES", 3)
+    with pytest.raises(ValueError):
+        cluster.louvain(nodes, adjacent)
 
 
 def test_lines_of_requests(capsys):

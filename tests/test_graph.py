@@ -108,8 +108,8 @@ def test_louvain_two_cliques(spark):
     assert sorted(got) == ["abc", "def"]
     adjacent = spark.createDataFrame(pdf)
     nodes = spark.createDataFrame([(c,) for c in "abcdefz"], "id string")
-    for limit in (100, 1):  # one task, and in rounds
-        parts = {r["id"]: r["community"] for r in cluster.louvain(nodes, adjacent, local_edges=limit).collect()}
+    for method in ("sequential", "rounds"):
+        parts = {r["id"]: r["community"] for r in cluster.louvain(nodes, adjacent, method=method).collect()}
         assert set(parts) == set("abcdefz") and parts["a"] == parts["b"] == parts["c"] and parts["z"] == "z"
     q = cluster.modularity(cluster.louvain(nodes, adjacent), adjacent).first()
     assert 0 < q["modularity"] <= 1
