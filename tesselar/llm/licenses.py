@@ -1,31 +1,36 @@
 """License scans by MinHash bands over text windows, by DataFrame functions only.
 
-Templates and texts are words; five words make a shingle (fewer words: all of them). Windows of a text overlap by half
-and have twice the words of a template's size class (a power of two), so every passage of a template's length lies in
-one whole. A window and a template of its class collide if in one of BANDS bands (of one row) their MinHash agrees; a
-template that lies in a window whole has a Jaccard similarity over 1/5 to it and is missed with a probability under
-(4/5)^BANDS. Collisions are verified by exact containment: the share of the template's shingles in the window.
+Templates and texts are words; five words make a shingle (fewer words: all of them). Windows of a text overlap and have
+about twice the words of a template's size class c: 2c - 1, from every c-th word on, so every passage of c words lies
+in one whole. Up to EXACT words a class is the template's own length, above it classes grow by a quarter. A window and a
+template of its class collide if in one of BANDS bands (of one row) their MinHash agrees. A template that lies in a
+window whole has a Jaccard similarity of (n - 4) / (2c - 5) or more to it, at least 1/5 (of 5 words, one shingle against
+the window's five), and so is missed with a probability of (4/5)^BANDS = 6e-7 at most. Collisions are verified by exact
+containment: the share of the template's shingles in the window.
 
-Only a window that holds a template's minimal shingle can collide with it, so texts are first tested for those
-shingles by a bitmap of bounded size, and MinHashes are taken where one occurs.
+Only a window that holds a template's minimal shingle can collide with it, so texts are first tested for the templates'
+shingles by Bloom filters of bounded size (one of all, one for each class), and MinHashes are taken where one occurs.
 
 Null texts have no words. Texts without a license get a row with no licenses. Repeated rows each get a row. Templates
-of no words are never found; templates with equal words are all found. Other columns don't matter.
+of no words are never found; templates with equal words are all found. Other columns don't matter. Very long texts are
+scanned whole; their words and the words' hashes are held as arrays in memory.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselar.llm import common
-from tesselar.llm.decontaminate import words_of
+from tesselar.llm.decontaminate import hash_of, run_hash, runs_in, word_hashes, words_of
 
 SHINGLE, CONTAINMENT, BANDS = 5, 0.8, 64
-BITMAP_POWER = 16
+EXACT, GROWTH = 16, 1.25  # size classes
 BROADCAST_ROWS = 200_000
 
-#: License notices as their publishers word them.
+#: License notices, in the words of their publishers but for what they set in brackets or leave to fill in.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'),
@@ -40,9 +45,12 @@ TEMPLATES = [
 ]
 
 
-def size_class(n_words: Column) -> Column:
-    """The least power of two, 4 at least, that is no less."""
-    return F.greatest(F.lit(4), F.pow(F.lit(2.0), F.ceil(F.log2(n_words.cast("double")))).cast("int"))
+def size_class(n_words: int) -> int:
+    """The least class that is no less: all numbers to EXACT, then each over the last by GROWTH."""
+    c = n_words if n_words <= EXACT else EXACT
+    while c < n_words:
+        c = math.ceil(c * GROWTH)
+    return c
 
 
 def shingles(w: Column, s: Column) -> Column:
@@ -59,60 +67,53 @@ def minhashes(texts: Column) -> Column:
 def templates(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFrame:
     """template (its number), license, c (size class), s (words in a shingle), shingles, signature."""
     rows = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(texts)], "template int, license string, text string")
-    rows = rows.select("template", "license", words_of(F.col("text")).alias("w")).where("size(w) > 0")
-    rows = rows.select("template", "license", size_class(F.size("w")).alias("c"), F.least(F.size("w"), F.lit(SHINGLE)).alias("s"), "w")
+    rows = common.cut(rows.select("template", "license", words_of(F.col("text")).alias("w")).where("size(w) > 0"))
+    lengths = sorted(r[0] for r in rows.select(F.size("w")).distinct().collect())
+    classes = F.coalesce(*[F.when(F.size("w") == n, F.lit(size_class(n))) for n in lengths]) if lengths else F.lit(0)
+    rows = rows.select("template", "license", classes.alias("c"), F.least(F.size("w"), F.lit(SHINGLE)).alias("s"), "w")
     return common.cut(rows.select("template", "license", "c", "s", shingles(F.col("w"), F.col("s")).alias("shingles")).withColumn("signature", minhashes(F.col("shingles"))))
 
 
 WINDOW_TYPE = "array<struct<c:int,s:int,start:int,w:array<string>>>"
 
 
-def _windows(w: Column, kinds: list[tuple[int, int]], bitmap: Column, hashes: dict[int, set[int]], firsts: dict[int, set[str]]) -> Column:
-    """The windows of an array of words that hold a marked shingle, for each (c, s)."""
-    none = F.array().cast(WINDOW_TYPE)
-
-    def of(s: int) -> Column:
-        def marked(i: Column) -> Column:
-            h = F.xxhash64(F.slice(w, i + 1, s)).bitwiseAND(F.lit((1 << BITMAP_POWER) - 1))
-            return F.getbit(bitmap[F.shiftright(h, 6).cast("int")], h.bitwiseAND(F.lit(63)).cast("int")) == 1
+def _windows(w: Column, blooms: dict[tuple[int, int], common.Bloom], bloom: common.Bloom) -> Column:
+    """The windows of an array of words, for each (c, s), that hold a shingle of a template of that kind.
 
-        def cut_out(places: Column) -> Column:
-            return F.concat(*[_around(w, places, c, s) for c in sorted(c for c, t in kinds if t == s)])
+    Words are hashed once; places with any template's shingle are found once, and then asked for each kind.
+    """
 
-        def wanted(i: Column) -> Column:
-            return F.array_contains(F.array(*map(F.lit, sorted(hashes[s]))), F.xxhash64(F.slice(w, i + 1, s)))
+    def of(hashes: Column, places: Column, c: int, s: int) -> Column:
+        return _around(w, F.filter(places, lambda i: blooms[c, s].has(run_hash(hashes, i, s))), c, s)
 
-        # The marked places are bound by a lambda, and so found once for all size classes. Few pass the bitmap by chance.
-        places = F.filter(F.filter(F.sequence(F.lit(0), F.size(w) - s), marked), wanted)
-        return F.when(F.size(w) >= s, F.transform(F.array(places), cut_out)[0]).otherwise(none)
+    def at(hashes: Column, s: int) -> Column:
+        found = lambda places: F.concat(*[of(hashes, places, c, t) for c, t in sorted(blooms) if t == s])
+        return F.transform(F.array(runs_in(hashes, s, bloom)), lambda places: F.when(F.size(places) > 0, found(places)).otherwise(F.array().cast(WINDOW_TYPE)))[0]
 
-    return F.concat(*[of(s) for s in sorted({s for _, s in kinds})])
+    return F.transform(F.array(word_hashes(w)), lambda hashes: F.concat(*[at(hashes, s) for s in sorted({s for _, s in blooms})]))[0]
 
 
 def _around(w: Column, places: Column, c: int, s: int) -> Column:
-    """The windows of 2c words around places: one starts at the multiple of c below it, and one at that before."""
+    """The windows of 2c - 1 words that hold a shingle at one of the places: they start at the multiple of c below it, and at that before."""
     at = F.flatten(F.transform(places, lambda i: F.array((F.floor(i / c) * c).cast("int"), F.greatest(F.floor(i / c) * c - c, F.lit(0)).cast("int"))))
-    return F.transform(F.array_distinct(at), lambda a: F.struct(F.lit(c).alias("c"), F.lit(s).alias("s"), a.alias("start"), F.slice(w, a + 1, 2 * c).alias("w")))
+    return F.transform(F.array_distinct(at), lambda a: F.struct(F.lit(c).alias("c"), F.lit(s).alias("s"), a.alias("start"), F.slice(w, a + 1, 2 * c - 1).alias("w")))
 
 
 def scan(df: DataFrame, texts: list[tuple[str, str]] = TEMPLATES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each of df: doc_id, n_licenses (long), licenses (names, sorted, comma-joined), containment (the greatest; 0 if none)."""
     known = templates(df.sparkSession, texts)
-    kinds = sorted((r["c"], r["s"]) for r in known.select("c", "s").distinct().collect())  # powers of two, and 1 to SHINGLE
-    hashes: dict[int, set[int]] = {}
-    firsts: dict[int, set[str]] = {}
-    for r in known.select("s", F.explode("shingles").alias("x")).select("s", F.split("x", " ")[0].alias("first"), F.xxhash64(F.split("x", " ")).alias("h")).collect():  # the templates' shingles
-        hashes.setdefault(r["s"], set()).add(r["h"])
-        firsts.setdefault(r["s"], set()).add(r["first"])
-    bits = [0] * (1 << BITMAP_POWER - 6)
-    for h in {h & ((1 << BITMAP_POWER) - 1) for hs in hashes.values() for h in hs}:
-        bits[h >> 6] |= 1 << (h & 63)
-    bits = [b - (b >> 63 << 64) for b in bits]
-    bitmap = F.expr(f"cast(split('{','.join(map(str, bits))}', ',') as array<bigint>)")
-    found = F.transform(F.array(words_of(F.col("text"))), lambda w: _windows(w, kinds, bitmap, hashes, firsts))[0] if kinds else F.array().cast(WINDOW_TYPE)
+    runs = common.cut(known.select("c", "s", F.explode("shingles").alias("x")).distinct())
+    kinds = sorted(map(tuple, runs.groupBy("c", "s").agg(F.count("*").alias("n")).collect()))  # a few dozen classes, and 1 to SHINGLE
+    found = F.array().cast(WINDOW_TYPE)
+    if kinds:
+        hashed = common.cut(runs.select("c", "s", hash_of(F.split("x", " "), sorted({s for _, s, _ in kinds})).alias("h")))
+        blooms = {(c, s): common.Bloom(hashed.where((F.col("c") == c) & (F.col("s") == s)).select("h"), n) for c, s, n in kinds}
+        bloom = common.Bloom(hashed.select("h"), runs.count())
+        found = F.transform(F.array(words_of(F.col("text"))), lambda w: _windows(w, blooms, bloom))[0]
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).select(F.monotonically_increasing_id().alias("rid"), "doc_id", found.alias("v"))
     rows = common.stash(rows, "license-windows")
-    wide = rows.where("size(v) > 0").select("rid", F.explode("v").alias("v")).select("rid", "v.*").where("size(w) >= s").withColumn("shingles", shingles(F.col("w"), F.col("s")))
+    wide = rows.where("size(v) > 0").select("rid", F.explode("v").alias("v")).select("rid", "v.*").where("size(w) >= s").withColumn("shingles", shingles(F.col("w"), F.col("s"))).drop("w")
+    wide = common.stash(wide, "license-shingles")
     small = known.count() <= BROADCAST_ROWS // BANDS
     bands = known.select("template", "c", "s", F.posexplode("signature").alias("band", "m"))
     signed = wide.select("rid", "c", "s", "start", F.posexplode(minhashes(F.col("shingles"))).alias("band", "m"))
@@ -132,16 +133,17 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     """Exact containment in every window: banding misses none but with a probability under 1e-6."""
     quoted = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(TEMPLATES))
+    classes = "CASE " + " ".join(f"WHEN len(w) <= {c} THEN {c}" for c in sorted({size_class(n) for n in range(1, 129)})) + " END"
     words = r"list_filter(string_split_regex(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
     runs = "list_distinct([array_to_string({0}[i:i + s - 1], ' ') for i in range(1, len({0}) - s + 2)])"
     return f"""
 WITH t0 AS (SELECT n, license, {words.format("t")} AS w FROM (VALUES {quoted}) AS v(n, license, t)),
-t1 AS (SELECT n, license, w, greatest(4, pow(2, ceil(log2(len(w)))))::INT AS c, least(len(w), {SHINGLE})::INT AS s FROM t0),
+t1 AS (SELECT n, license, w, {classes} AS c, least(len(w), {SHINGLE})::INT AS s FROM t0),
 t AS (SELECT n, license, c, s, {runs.format("w")} AS wanted FROM t1),
 d AS (SELECT doc_id, {words.format("coalesce(text, '')")} AS w FROM documents),
 k AS (SELECT DISTINCT c, s FROM t),
 v0 AS (SELECT doc_id, c, s, w, unnest(range(0, len(w), c)) AS a FROM d, k),
-v1 AS (SELECT doc_id, c, s, w[a + 1:a + 2 * c] AS w FROM v0),
+v1 AS (SELECT doc_id, c, s, w[a + 1:a + 2 * c - 1] AS w FROM v0),
 v AS (SELECT doc_id, c, s, {runs.format("w")} AS have FROM v1 WHERE len(w) >= s),
 j AS (SELECT doc_id, license, len(list_intersect(wanted, have)) / len(wanted) AS share FROM v JOIN t USING (c, s)),
 r AS (SELECT doc_id, count(DISTINCT license) AS n_licenses, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, round(max(share), 6) AS containment FROM j WHERE share >= {CONTAINMENT} GROUP BY doc_id)

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from llm_helpers import words8
@@ -14,11 +15,13 @@ def brute(text, texts):
         tw = words8(t)
         if not tw:
             continue
-        c, s = max(4, 2 ** math.ceil(math.log2(len(tw)))), min(5, len(tw))
+        c, s = min(16, len(tw)), min(5, len(tw))
+        while c < len(tw):
+            c = math.ceil(c * 1.25)
         grams = lambda x, s=s: {tuple(x[i : i + s]) for i in range(len(x) - s + 1)}
         wanted = grams(tw)
         for a in range(0, len(w), c):
-            share = len(wanted & grams(w[a : a + 2 * c])) / len(wanted)
+            share = len(wanted & grams(w[a : a + 2 * c - 1])) / len(wanted)
             if share >= licenses.CONTAINMENT:
                 found[name] = max(found.get(name, 0), share)
     return len(found), ",".join(sorted(found)), round(max(found.values(), default=0.0), 6)
@@ -43,6 +46,26 @@ def test_templates(spark, texts):
     assert {r["doc_id"]: (r["n_licenses"], r["licenses"], r["containment"]) for r in rows} == {i: brute(t, texts) for i, t in enumerate(docs)}
 
 
+def test_no_verbatim_notice_is_missed(spark):
+    """Every template at every place of a text, among other words each time: the bands must find them all."""
+    rng = random.Random(11)
+    rows = []
+    for i, (name, t) in enumerate(licenses.TEMPLATES):
+        for k in range(1000):
+            other = [f"w{rng.randrange(10**6)}" for _ in range(120 + k % 37)]
+            at = k % 120
+            rows.append((i * 1000 + k, name, " ".join([*other[:at], t, *other[at:]])))
+    docs = spark.createDataFrame(rows, "doc_id long, name string, text string").repartition(16)
+    missed = licenses.scan(docs).join(docs.select("doc_id", "name"), "doc_id").where("not array_contains(split(licenses, ','), name) or containment < 1")
+    assert missed.count() == 0
+
+
+def test_least_similarity():
+    """What the docstring says of the bands: no whole template is under 1/5 of its window."""
+    least = min((n - min(5, n) + 1) / (2 * licenses.size_class(n) - min(5, n)) for n in range(1, 20000))
+    assert least >= 1 / 5 and (1 - least) ** licenses.BANDS < 1e-6
+
+
 def test_query(spark, duck):
     ours, theirs = same_rows(licenses.op7_licenses(spark, SF), duck, licenses.OP7_SQL)
     assert ours == theirs
