@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import UTC, datetime
 from hashlib import sha256
-from typing import Any
+from typing import Any, get_args, get_origin, get_type_hints
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,9 +81,34 @@ def call(spark: SparkSession, name: str, arguments: dict[str, Any] | None = None
         return {"status": "error", "stage": t.stage, "reason": "limit_exceeded", "message": str(e)}
 
 
+KINDS = {str: "string", int: "integer", float: "number", bool: "boolean", dict: "object", list: "array"}
+IDS = {"type": "string", "pattern": "^" + SAFE_ID.pattern.removesuffix(r"\Z") + "$"}
+CHOICES = {"method": ["sequential", "rounds"], "kind": ["agent_question", "user_answer"]}
+
+
+def _schema(name: str, hint: Any) -> dict[str, Any]:
+    """The JSON schema of one argument, from its type."""
+    if name in ("run_id", "finding_id"):
+        return IDS
+    parts = [x for x in (get_args(hint) or (hint,)) if x is not type(None)] if get_origin(hint) is not list else [hint]
+    kinds = [KINDS[get_origin(x) or x] for x in parts if (get_origin(x) or x) in KINDS]
+    out: dict[str, Any] = {"type": kinds[0] if len(kinds) == 1 else kinds} if kinds else {}
+    if get_origin(hint) is list:
+        out["items"] = {"type": KINDS[get_args(hint)[0]]}
+    if name in CHOICES:
+        out["enum"] = CHOICES[name]
+    if name.endswith("path") and out.get("type") == "string":
+        out["pattern"] = "^/"
+    return out
+
+
 def describe() -> list[dict[str, Any]]:
-    """Each tool's name and arguments."""
-    return [{"name": n, "inputSchema": {"type": "object", "properties": {a: {} for a in t.required + t.optional}, "required": list(t.required), "additionalProperties": False}} for n, t in TOOLS.items()]
+    """Each tool's name and the JSON schema of its arguments."""
+    out = []
+    for n, t in TOOLS.items():
+        hints = get_type_hints(t.run)
+        out.append({"name": n, "inputSchema": {"type": "object", "properties": {a: _schema(a, hints.get(a)) for a in t.required + t.optional}, "required": list(t.required), "additionalProperties": False}})
+    return out
 
 
 def _now() -> str:

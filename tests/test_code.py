@@ -231,3 +231,13 @@ def test_corpora(spark, tmp_path):
         (tmp_path / "ground_truth.json").write_text(json.dumps(bad))
         with pytest.raises(ValueError):
             corpora.load(str(tmp_path))
+
+
+def test_schemas():
+    known = {t["name"]: t["inputSchema"]["properties"] for t in tools.describe()}
+    assert known["search_codebase"]["limit"] == {"type": "integer"} and known["search_codebase"]["label_filter"] == {"type": "string"}
+    assert known["check_security_gates"]["changed_symbols"] == {"type": "array", "items": {"type": "string"}}
+    assert known["cluster_graph"]["method"]["enum"] == ["sequential", "rounds"] and known["cluster_graph"]["resolution_param"] == {"type": "number"}
+    assert known["query_graph"]["graph_path"] == {"type": "string", "pattern": "^/"} and "pattern" in known["extract_finding"]["run_id"]
+    assert known["extract_finding"]["finding"] == {"type": ["object", "string"]}
+    assert {a for tool in known.values() for a, p in tool.items() if not p} == {"meta"}  # which can be anything
