@@ -7,7 +7,9 @@ just these counts. The rows are exchanged, and each shard is permuted again: its
 in cells of rows with close numbers, which are tasks of even size however large a shard is.
 
 Law: `rows`; the shards' counts are at most one apart. All draws follow from the seed. Equal rows are shuffled like
-others. Nulls don't matter. Columns of the input named shard or slot are replaced. An empty table gives an empty table.
+others. Nulls don't matter. Columns of the input named shard or slot are replaced, others are kept, whatever their names.
+An empty table gives an empty table. Very long texts go along as they are. The driver holds, and sends to the tasks, a count
+for each shard and partition of the table that is read, so as many as tasks.
 """
 
 from __future__ import annotations
@@ -88,7 +90,7 @@ def _deal(rows: DataFrame, parts: dict[int, int], counts: np.ndarray, seed: int)
 def shuffle(df: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """df with shard int (0 to shards - 1) and slot long (gapless from 0 in each shard)."""
     base = common.without(df, ["shard", "slot"])
-    rows = common.stash(base.withColumn("_place", F.monotonically_increasing_id()), "rows")
+    rows = common.stash(common.packed(base, _place=F.monotonically_increasing_id()), "rows")
     part = F.shiftrightunsigned("_place", PLACE_BITS)
     sizes = sorted((r["p"], r["n"]) for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
     total = sum(n for _, n in sizes)
@@ -105,7 +107,7 @@ def shuffle(df: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     dealt = _deal(rows, parts, counts, seed).select("*", cell, random.alias("_random"))
     nth = F.row_number().over(Window.partitionBy("shard", "_cell").orderBy("_random", "_place")).cast("long")
     placed = dealt.withColumn("_nth", nth).join(side, ["shard", "_cell"])
-    return placed.select(*base.columns, "shard", (F.col("_first") + F.col("_nth") - 1).alias("slot"))
+    return placed.select(*[F.col(f"row.`{c}`") for c in base.columns], "shard", (F.col("_first") + F.col("_nth") - 1).alias("slot"))
 
 
 def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,3 +68,14 @@ def test_hard_rows(nasty, empty):
     check(rows, 3)
     assert sharding.shuffle(empty, 8).count() == 0
     check(sharding.shuffle(nasty, 100).collect(), 100)
+
+
+def test_internal_names_of_the_operator(spark):
+    """Columns of the input keep their values, whatever they are called."""
+    names = ["_place", "_cell", "_random", "_nth", "_first", "row", "rid"]
+    df = spark.createDataFrame([(i, *[i * 10 + k for k in range(len(names))], "z") for i in range(40)], ["doc_id", *names, "SLOT"]).repartition(3)
+    out = sharding.shuffle(df)
+    assert out.columns == ["doc_id", *names, "shard", "slot"]
+    rows = out.collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(40)) and all(r[n] == r["doc_id"] * 10 + k for r in rows for k, n in enumerate(names))
+    assert sorted((r["shard"], r["slot"]) for r in rows) == [(s, k) for s in range(8) for k in range(5)]
