@@ -148,7 +148,7 @@ def tools_on_a_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
         if field == "first":
             value = answer["results"][0]["qualified_name"]
         elif field == "calls_in":
-            value = sorted(answer["relationships"]["calls_in"])
+            value = sorted(r["qualified_name"] for r in answer["relationships"]["called_by"])
         else:
             value = answer.get(field)
         told.append((step, tool, field, _said(value)))

@@ -18,6 +18,8 @@ class Corpus:
     language: str
     version: str
     labels: list[dict]
+    folder: str = ""
+    sources: str = ""
 
 
 def load(folder: str) -> Corpus:
@@ -33,7 +35,8 @@ def load(folder: str) -> Corpus:
     for label in truth.get("labels", []):
         if label.get("query_id") not in WEIGHTS:
             raise ValueError(f"there is no query {label.get('query_id')}")
-    return Corpus(name, manifest.get("language") or truth.get("language", ""), str(truth.get("version", "")), truth.get("labels", []))
+    sources = os.path.normpath(os.path.join(os.path.abspath(folder), manifest.get("path") or "src"))
+    return Corpus(name, manifest.get("language") or truth.get("language", ""), str(truth.get("version", "")), truth.get("labels", []), os.path.abspath(folder), sources)
 
 
 def labels(spark: SparkSession, corpora: list[Corpus]) -> DataFrame:

@@ -76,7 +76,8 @@ def call(spark: SparkSession, name: str, arguments: dict[str, Any] | None = None
                 raise ToolError("unsafe_path", f"{a} must be absolute, without ..")
         return {"status": "ok", "stage": t.stage} | t.run(spark, **arguments)
     except (ToolError, CypherError, documents.FindingError) as e:
-        return {"status": "error", "stage": t.stage, "reason": e.reason, "message": str(e)}
+        near = {"did_you_mean": e.near} if isinstance(e, _NotFound) else {}
+        return {"status": "error", "stage": t.stage, "reason": e.reason, "message": str(e)} | near
     except files.LimitError as e:
         return {"status": "error", "stage": t.stage, "reason": "limit_exceeded", "message": str(e)}
 
@@ -378,7 +379,7 @@ def cluster_graph(spark: SparkSession, graph_path: str, resolution_param: float
         out = PropertyGraph(out.nodes, out.edges.unionByName(e, allowMissingColumns=True))
     _save(spark, out, graph_path)
     kept = _graph(spark, graph_path)
-    listing = kept.of_kind("MemberOf").select(F.col("from_id").alias("qualified_name"), text.community_number(F.col("to_id")).alias("cluster_id")).orderBy("qualified_name", "cluster_id")
+    listing = kept.of_kind("MemberOf").select(F.col("from_id").alias("qn"), F.col("to_id").alias("community_id"), text.community_number(F.col("to_id")).alias("cluster_id")).orderBy("qn", "community_id")
     total = listing.count()
     return {"community_count": kept.scan("Community").count(), "modularity": q["modularity"], "modularity_adjacent": q["modularity_adjacent"], "process_count": kept.scan("Process").count(), "clusters": _rows(listing), "total_memberships": total, "clusters_truncated_at": RESULT_ROWS if total > RESULT_ROWS else None}
 
@@ -424,16 +425,38 @@ def search_codebase(spark: SparkSession, graph_path: str, query: str, limit: int
     return {"results": [r | {"score": f"{r['score']:.4f}"} for r in rows], "result_count": len(rows)}
 
 
+# What the ends of these kinds of edges are to each other, from the start and from the end.
+RELATIONS = {"Calls": ("calls", "called_by"), "Imports": ("imports", "imported_by"), "Implements": ("implements", "implemented_by"), "Uses": ("uses", "used_by")}
+
+
+def _neighbours(g: PropertyGraph, i: str) -> DataFrame:
+    """relation, name, qualified_name, kind: the other ends of a node's edges of RELATIONS, but not the library's symbols."""
+    edges = g.of_kind(*RELATIONS).where((F.col("from_id") == i) | (F.col("to_id") == i))
+    named = lambda way: F.coalesce(*[F.when(F.col("kind") == k, pair[way]) for k, pair in RELATIONS.items()])
+    out = edges.where(F.col("from_id") == i).select(named(0).alias("relation"), F.col("to_id").alias("id"))
+    into = edges.where(F.col("to_id") == i).select(named(1).alias("relation"), F.col("from_id").alias("id"))
+    nodes = g.nodes.where(F.col("label") != "StdlibSymbol").select("id", "name", F.coalesce("qualified_name", "id").alias("qualified_name"), F.col("label").alias("kind"))
+    return out.unionByName(into).distinct().join(nodes, "id").drop("id")
+
+
 @tool("stage-3d", "graph_path qualified_name")
 def get_context(spark: SparkSession, graph_path: str, qualified_name: str) -> dict:
     g = _graph(spark, graph_path)
     hit = _resolved(g, qualified_name)
-    related = {(r["kind"], r["direction"]): r["ids"] for r in _rows(search.context(g, hit["id"]))}
-    lists = {f"{kind.lower()}_{way}": related.get((kind, way), []) for kind in ("Calls", "Imports", "Implements", "Uses") for way in ("in", "out")}
-    impact = _rows(flows.impact(hit["id"], *_memberships(g)))
+    node = _rows(g.nodes.where(F.col("id") == hit["id"]), 1)[0]
+    near = cut(_neighbours(g, hit["id"]))
+    counts = {r["relation"]: r["n"] for r in near.groupBy("relation").agg(F.count("*").alias("n")).collect()}  # eight rows at most
+    related: dict[str, list] = {r: [] for pair in RELATIONS.values() for r in pair}
+    for r in _rows(near.orderBy("relation", "qualified_name")):
+        related[r.pop("relation")].append(r)
+    member, takes = _memberships(g)
+    impact = _rows(flows.impact(hit["id"], member, takes))
+    communities = _rows(member.where(F.col("id") == hit["id"]).select("community_id").join(member.withColumnRenamed("id", "m"), "community_id").groupBy("community_id").agg(F.count("*").alias("member_count")).orderBy("community_id"), 1)
+    community = next(({"id": c["community_id"], "name": c["community_id"], "member_count": c["member_count"]} for c in communities), None)
     starts = {r["to_id"] for r in _rows(g.of_kind("EntryPointOf").where(F.col("from_id") == hit["id"]).select("to_id"))}
     processes = [{"name": r["name"], "role": "entry_point" if r["name"] in starts else "participant"} for r in impact if r["what"] == "process"]
-    return {"symbol": hit, "relationships": lists, "community": next((r["name"] for r in impact if r["what"] == "community"), None), "processes": sorted(processes, key=lambda p: p["name"])}
+    symbol = {"qualified_name": hit["id"], "name": node["name"], "kind": node["label"], "file_path": node["file"]} | {c: node.get(c) for c in ("start_line", "end_line", "visibility")}
+    return {"symbol": symbol, "relationships": related, "relationship_counts": counts, "community": community, "processes": sorted(processes, key=lambda p: p["name"])}
 
 
 @tool("analyze", "path output_dir", "language resolution_param lsp")

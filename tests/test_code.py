@@ -162,7 +162,11 @@ def test_graph_tools(spark, tmp_path):
     assert call("query_graph", graph_path=at, query="MATCH (f:Function)-[:Calls]->(g:Function) RETURN f.name, count(g) ORDER BY f.name")["rows"] == [["do_run", "1"], ["main", "2"]]
     assert call("query_graph", graph_path=at, query="MATCH (n) DELETE n")["reason"] == "read_only_query_required"
     assert call("search_codebase", graph_path=at, query="do run")["results"][0]["name"] == "do_run"
-    assert "src/main.rs::main" in call("get_context", graph_path=at, qualified_name="src/models.rs::helper")["relationships"]["calls_in"]
+    context = call("get_context", graph_path=at, qualified_name="src/models.rs::helper")
+    assert {"name": "main", "qualified_name": "src/main.rs::main", "kind": "Function"} in context["relationships"]["called_by"]
+    assert len(context["relationships"]) == 8 and context["relationship_counts"]["called_by"] == len(context["relationships"]["called_by"])
+    assert context["symbol"]["kind"] == "Function" and context["symbol"]["file_path"] == "src/models.rs" and context["community"]["member_count"] > 1
+    assert call("get_symbol", graph_path=at, qualified_name="x.rs::helper")["did_you_mean"] == ["src/models.rs::helper"]
     assert call("get_impact", graph_path=at, qualified_name="src/main.rs::main")["processes"] == ["process::src/main.rs::main"]
     prd = tmp_path / "p.md"
     prd.write_text("change `helper` and `nope_x`")
