@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselar import schema
@@ -44,6 +44,11 @@ def symbols(graph: PropertyGraph) -> DataFrame:
     return graph.scan(*schema.SEARCHABLE).select("name", "qualified_name", "id", "label", F.coalesce("file", text.file_of_id(F.col("id"))).alias("file"))
 
 
+def _first_order() -> list[Column]:
+    """Of several symbols that fit as well."""
+    return [label_rank(F.col("label")), F.col("qualified_name"), F.col("id")]
+
+
 def _edge(kind: str, from_label: Column, from_id: Column, to_label: Column, to_id: Column, confidence: Column, method: str, phase: int) -> list[Column]:
     rel = F.concat_ws("_", F.lit(kind), from_label, to_label)
     return [rel.alias("rel"), F.lit(kind).alias("kind"), from_label.alias("from_label"), from_id.alias("from_id"), to_label.alias("to_label"), to_id.alias("to_id"), confidence.alias("confidence"), F.lit(method).alias("resolution_method"), F.lit(phase).alias("phase")]
@@ -59,9 +64,8 @@ def imports(graph: PropertyGraph, roots: list[str] | None = None) -> tuple[DataF
     known = symbols(graph)
     asked = graph.scan("Import").select(F.col("id").alias("import"), F.col("path").alias("raw"), text.normalise_import(F.col("path")).alias("path"), F.coalesce("is_glob", F.lit(False)).alias("is_glob"), F.coalesce("file", text.file_of_id(F.col("id"))).alias("source"))
     inside = asked.where(F.coalesce("raw", F.lit("")) != "").where(~text.is_external(F.col("raw"), roots))
-    counted = known.withColumn("n", F.count("*").over(Window.partitionBy("name")))
-    single = joins.by_name(inside.where("not is_glob").withColumn("leaf", text.leaf(F.col("path"))), "leaf", counted)
-    best = joins.best_match(single, ["import"], F.col("path"), F.col("qualified_name"), label_rank(F.col("label")), F.col("qualified_name"), F.col("id"))
+    single = inside.where("not is_glob").select("import", "source", "path", text.leaf(F.col("path")).alias("leaf"))
+    best = joins.best_match(single, "leaf", F.col("path"), known.select("name", "qualified_name", "id", "label"), *_first_order())
     one = best.select("import", *_edge("Imports", F.lit("File"), F.col("source"), F.col("label"), F.col("id"), F.when(F.col("n") == 1, 1.0).otherwise(0.7), "import", 1))
     module = known.withColumn("module", F.regexp_replace(F.regexp_replace(text.parent(F.col("qualified_name")), r"^src/", ""), r"\.(rs|py|tsx?)$", "")).withColumn("module", F.regexp_replace("module", "/", "::"))
     globs = inside.where("is_glob").withColumn("module", F.regexp_replace("path", r"::\*$", "")).join(module, "module")
@@ -81,8 +85,8 @@ def calls(graph: PropertyGraph, found: DataFrame) -> tuple[DataFrame, DataFrame]
     sites = graph.scan("CallSite").select(F.col("id").alias("site"), F.col("callee_name").alias("callee"), text.caller_of_site(F.col("id")).alias("caller"), F.coalesce("file", text.file_of_id(F.col("id"))).alias("source")).where(~F.endswith("callee_name", F.lit("!")))
     sites = joins.label_or_default(sites.withColumnRenamed("caller", "from_qn"), "from_qn", known).withColumnRenamed("label", "from_label")
     target = F.struct("label", "id").alias("t")
-    full = joins.by_name(sites.where(F.contains("callee", F.lit("::"))).withColumn("leaf", text.leaf(F.col("callee"))), "leaf", known.select("name", "qualified_name", "id", "label"))
-    full = joins.best_match(full, ["site"], F.col("callee"), F.col("qualified_name"), label_rank(F.col("label")), F.col("qualified_name"), F.col("id")).select("site", target, F.lit(1.0).alias("confidence"))
+    full = sites.where(F.contains("callee", F.lit("::"))).select("site", "callee", text.leaf(F.col("callee")).alias("leaf"))
+    full = joins.best_match(full, "leaf", F.col("callee"), known.select("name", "qualified_name", "id", "label"), *_first_order()).select("site", target, F.lit(1.0).alias("confidence"))
     plain = sites.where(~F.contains("callee", F.lit("::")))
     named = found.join(known.select(F.col("id").alias("to_id"), F.col("name").alias("callee")), "to_id").groupBy(F.col("from_id").alias("source"), "callee").agg(F.min(F.struct(F.col("to_label").alias("label"), F.col("to_id").alias("id"))).alias("a"))
     only = lambda keys, out: known.groupBy(*keys).agg(F.min(F.struct("label", "id")).alias(out), F.count("*").alias("n")).where("n = 1").drop("n").withColumnRenamed("name", "callee")
@@ -107,7 +111,7 @@ def heritage(refs: DataFrame, graph: PropertyGraph) -> DataFrame:
     """Extends and Implements edges from declared references (kind, from_qualified_name, to_qualified_name)."""
     known = symbols(graph).where(F.col("label").isin("Struct", "Enum", "Trait"))
     left = refs.where(F.col("kind").isin("Extends", "Implements")).join(known.select(F.col("qualified_name").alias("from_qualified_name"), F.col("id").alias("from_id"), F.col("label").alias("from_label")), "from_qualified_name").withColumn("leaf", text.leaf(F.col("to_qualified_name")))
-    best = joins.first_per(joins.by_name(left, "leaf", known.select("name", "id", "label")), ["kind", "from_id", "to_qualified_name"], F.col("label"), F.col("id"))
+    best = joins.first_of_name(left.dropDuplicates(["kind", "from_id", "to_qualified_name"]), "leaf", known.select("name", "id", "label"), F.col("label"), F.col("id"))
     edges = best.select(F.col("kind").alias("k"), *_edge("Extends", F.col("from_label"), F.col("from_id"), F.col("label"), F.col("id"), F.lit(1.0), "declared", 4))
     return edges.withColumn("kind", F.col("k")).withColumn("rel", F.concat_ws("_", "k", "from_label", "to_label")).drop("k")
 
@@ -131,7 +135,7 @@ def field_uses(graph: PropertyGraph) -> DataFrame:
     """Fields and the types that their annotations name: of several types of a name the first by label and name."""
     fields = graph.scan("Field").select("id", F.explode(text.type_identifiers(F.col("type_annotation"))).alias("type"))
     types = graph.scan(*TYPE_LABELS).select("name", F.col("label").alias("l"), F.col("id").alias("t"), F.col("qualified_name").alias("q"))
-    best = joins.first_per(joins.by_name(fields, "type", types), ["id", "type"], label_rank(F.col("l")), F.col("q"))
+    best = joins.first_of_name(fields.distinct(), "type", types, label_rank(F.col("l")), F.col("q"), F.col("t"))
     return best.select(*_edge("Uses", F.lit("Field"), F.col("id"), F.col("l"), F.col("t"), F.lit(0.9), "field-type", 5))
 
 

@@ -147,8 +147,8 @@ SELECT name, hint, id FROM ranked WHERE n = 1""",
 )
 def best_match_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.concat_ws("::", "p_type", "p_name").alias("hint")).distinct()
-    found = joins.by_name(wanted, "name", graph(spark, sf_dir).scan("Part").select("id", "name", "qualified_name"))
-    best = joins.best_match(found, ["hint"], F.col("hint"), F.col("qualified_name"), F.col("qualified_name"), F.col("id"))
+    parts = graph(spark, sf_dir).scan("Part").select("id", "name", "qualified_name")
+    best = joins.best_match(wanted, "name", F.col("hint"), parts, F.col("qualified_name"), F.col("id"))
     return best.select("name", F.regexp_replace("hint", "::", "/").alias("hint"), "id")
 
 
