@@ -37,6 +37,7 @@ RADIUS = 24
 COMPARE_ROWS = 1 << 13  # a task compares about so many rows at once
 UNITS = 1 << 12  # of 64 pairs each, of which most may be near
 CHUNK = 1 << 11
+NUMBERED = 1 << 18  # members that are numbered at once
 BROADCAST_ROWS = 500_000
 _RANDOM = np.random.default_rng(42)
 _FACTORS = _RANDOM.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -105,8 +106,11 @@ class Bucket:
     def __init__(self, values: np.ndarray, ends: np.ndarray):
         self.sizes = np.diff(ends, prepend=0)
         self.starts = ends - self.sizes
-        self.numbers = np.unique(values, return_inverse=True)[1]
-        self.marked = np.zeros(len(self.numbers) + 1, dtype=bool)
+        known = np.unique(values)
+        self.numbers = np.empty(len(values), dtype=np.int32)  # LOT_BYTES bound their count
+        for x in range(0, len(values), NUMBERED):
+            self.numbers[x : x + NUMBERED] = np.searchsorted(known, values[x : x + NUMBERED])
+        self.marked = np.zeros(len(known), dtype=bool)
 
     def like(self, k: int) -> np.ndarray:
         """A mask of the texts that are alike to the k-th."""
@@ -117,43 +121,50 @@ class Bucket:
         return enough(both, self.sizes[k], self.sizes)
 
 
+def _links(lot: pa.Table) -> pa.RecordBatch:
+    """The links of one lot of whole buckets. All that it takes is free before the next lot is gathered."""
+    t, k, i, j, root, node, fp = (c.to_numpy() for c in lot.columns[:7])
+    n, raw = lot.num_rows, lot.column(7).chunk(0)
+    offsets = np.frombuffer(raw.buffers()[1], dtype=np.int32)[raw.offset : raw.offset + n + 1].astype(np.int64) // 8
+    values = np.frombuffer(raw.buffers()[2], dtype="<u8", count=int(offsets[-1]))
+    groups = simhash.numbered([t, k, i, j])
+    firsts = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
+    lasts = np.concatenate([firsts[1:], [n]])
+    # A component of many texts in the bucket is what others are compared with.
+    _, kind, many = np.unique(np.stack([groups, root]), axis=1, return_inverse=True, return_counts=True)
+    many = many[kind.ravel()]
+    sizes, comp = np.diff(offsets), root.copy()
+    known, bucket, links = -1, None, []
+    for a, b in simhash.close(fp.view(np.uint64), groups, RADIUS, UNITS):
+        small, large = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
+        fit = (root[a] != root[b]) & (10 * small >= round(10 * LEAST) * large)
+        a, b = a[fit], b[fit]
+        swap = many[a] > many[b]
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        for asked in np.split(np.arange(len(a)), np.flatnonzero(np.diff(a)) + 1):
+            if not len(asked) or (comp[b[asked]] == comp[a[asked[0]]]).all():
+                continue  # links found meanwhile have joined them
+            q, g = int(a[asked[0]]), int(groups[a[asked[0]]])
+            low, high = firsts[g], lasts[g]
+            if g != known:
+                known, bucket = g, Bucket(values[offsets[low] : offsets[high]], offsets[low + 1 : high + 1] - offsets[low])
+            alike = bucket.like(q - low)
+            for other in b[asked][alike[b[asked] - low]]:
+                if comp[other] != comp[q]:
+                    links.append((node[q], node[other]))
+                    comp[comp == comp[other]] = comp[q]
+    pairs = np.array(links, dtype=np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+
+
 def _compare(batches):
     """From rows (t, k, i, j, root, node, fp, set), a bucket's together, to links (u, v): for a text and each other component that it is alike to, one."""
     for lot in simhash.whole_buckets(batches, 4, COMPARE_ROWS, simhash.LOT_BYTES):
-        t, k, i, j, root, node, fp = (c.to_numpy() for c in lot.columns[:7])
-        n, raw = lot.num_rows, lot.column(7).chunk(0)
-        offsets = np.frombuffer(raw.buffers()[1], dtype=np.int32)[raw.offset : raw.offset + n + 1].astype(np.int64) // 8
-        values = np.frombuffer(raw.buffers()[2], dtype="<u8", count=int(offsets[-1]))
-        groups = simhash.numbered([t, k, i, j])
-        firsts = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
-        lasts = np.concatenate([firsts[1:], [n]])
-        # A component of many texts in the bucket is what others are compared with.
-        _, kind, many = np.unique(np.stack([groups, root]), axis=1, return_inverse=True, return_counts=True)
-        many = many[kind.ravel()]
-        sizes, comp = np.diff(offsets), root.copy()
-        known, bucket, links = -1, None, []
-        for a, b in simhash.close(fp.view(np.uint64), groups, RADIUS, UNITS):
-            small, large = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
-            fit = (root[a] != root[b]) & (10 * small >= round(10 * LEAST) * large)
-            a, b = a[fit], b[fit]
-            swap = many[a] > many[b]
-            a, b = np.where(swap, b, a), np.where(swap, a, b)
-            order = np.argsort(a, kind="stable")
-            a, b = a[order], b[order]
-            for asked in np.split(np.arange(len(a)), np.flatnonzero(np.diff(a)) + 1):
-                if not len(asked) or (comp[b[asked]] == comp[a[asked[0]]]).all():
-                    continue  # links found meanwhile have joined them
-                q, g = int(a[asked[0]]), int(groups[a[asked[0]]])
-                low, high = firsts[g], lasts[g]
-                if g != known:
-                    known, bucket = g, Bucket(values[offsets[low] : offsets[high]], offsets[low + 1 : high + 1] - offsets[low])
-                alike = bucket.like(q - low)
-                for other in b[asked][alike[b[asked] - low]]:
-                    if comp[other] != comp[q]:
-                        links.append((node[q], node[other]))
-                        comp[comp == comp[other]] = comp[q]
-        pairs = np.array(links, dtype=np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+        found = _links(lot)
+        del lot
+        yield found
 
 
 def _middles(members: DataFrame) -> DataFrame:

@@ -197,10 +197,12 @@ def whole_buckets(batches: Iterator[pa.RecordBatch], keys: int, most: int, most_
         if same.all():
             continue
         last = len(same) - int(np.argmin(same[::-1]))  # where the bucket that may go on begins
-        yield held.slice(0, last).combine_chunks()
-        held = held.slice(last).combine_chunks()
+        lot, held = held.slice(0, last).combine_chunks(), held.slice(last).combine_chunks()
+        yield lot
+        del lot
     if held is not None and held.num_rows:
-        yield held.combine_chunks()
+        lot, held = held.combine_chunks(), None
+        yield lot
 
 
 def numbered(keys: list[np.ndarray]) -> np.ndarray:
