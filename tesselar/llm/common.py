@@ -83,14 +83,14 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, ARROW_BYTES)
 
 
-def slices(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
-    """Batches in parts of SLICE_ROWS rows and SLICE_BYTES in column `at` at most; a row is never cut."""
+def slices(batches: Iterator[pa.RecordBatch], at: int, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of `rows` rows and SLICE_BYTES in column `at` at most; a row is never cut."""
     for batch in batches:
         sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(at)), 0))
         ends, k = np.cumsum(sizes), 0
         while k < batch.num_rows:
             n = int(np.searchsorted(ends, (ends[k - 1] if k else 0) + SLICE_BYTES, side="right")) - k
-            n = max(1, min(n, SLICE_ROWS))
+            n = max(1, min(n, rows))
             yield batch.slice(k, n)
             k += n
 

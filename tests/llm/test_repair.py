@@ -29,6 +29,46 @@ def test_encoder(library):
         assert np.frombuffer(raw, dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.fixture
+def encoder():
+    with open(PATH, encoding="utf-8") as f:
+        return repair.Encoder(f.read())
+
+
+def test_parts_go_to_the_library_once(encoder, library):
+    """Whatever stands between two words, the library gets each at most once after a space and once after a line feed."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdeéßñ") for _ in range(rng.randint(2, 9))) for _ in range(60)]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", "\n", ". ", ".\n", ",", "...\n\n"]) for _ in range(300)) + "x" for _ in range(40)]
+    sent = []
+
+    class Listening:
+        def encode_batch_fast(self, parts, **more):
+            sent.extend(parts)
+            return library.encode_batch_fast(parts, **more)
+
+    encoder.tokenizer = Listening()
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in encoder.encode(texts)] == want
+    assert sum(map(len, sent)) < 4 * sum(len(w) + 1 for w in words)
+    sent.clear()
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in encoder.encode(texts)] == want
+    assert not any(sent)
+
+
+def test_line_feeds_marks_and_small_caches(encoder, library, monkeypatch):
+    monkeypatch.setattr(repair, "CACHE_PARTS", 50)
+    monkeypatch.setattr(repair, "CACHED_BYTES", 6)
+    monkeypatch.setattr(repair, "JOINED", 3)
+    rng = random.Random(6)
+    texts = ["", "\n", "\n\n", "\n\n\na", "a\n\n\n", "a\n\n\n\n.b", "é.", "×.", "÷.", "x's.", "x.'s", "a" * 50]
+    texts += ["".join(rng.choice("abé×\n\n.,'s 1") for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    for k in range(0, len(texts), 40):
+        for text, raw in zip(texts[k : k + 40], encoder.encode(texts[k : k + 40]), strict=True):
+            assert np.frombuffer(raw, dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    assert len(encoder.older) > 50 and max(map(len, encoder.older)) <= 6
+
+
 @pytest.mark.parametrize("n,high", [(0, 5), (1, 5), (2, 1), (5000, 3), (50_000, 40), (3000, 50_000)])
 def test_round_trip(n, high):
     rng = np.random.default_rng(n)
@@ -57,6 +97,16 @@ def test_no_frequent_pair_stays(monkeypatch, bits):
     assert np.array_equal(repair.expand(seq, rules, lengths, 100), ids)
 
 
+def test_later_rounds_look_at_what_changed(monkeypatch):
+    rng = np.random.default_rng(4)
+    ids = (rng.zipf(1.3, 200_000) % 5000).astype(np.uint32)
+    looked, find = [], repair._frequent
+    monkeypatch.setattr(repair, "_frequent", lambda a, *more: (looked.append(len(a)), find(a, *more))[1])
+    seq, rules, lengths = repair.compress(ids, 5000)
+    assert len(looked) > 3 and sum(looked) < 2 * len(ids)
+    assert np.array_equal(repair.expand(seq, rules, lengths, 5000), ids)
+
+
 def test_query(spark, duck, library, monkeypatch):
     monkeypatch.setattr(repair, "BLOCK_IDS", 5000)
     docs = duck.execute("SELECT doc_id, text FROM documents ORDER BY doc_id").fetchall()
