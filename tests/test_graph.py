@@ -1,6 +1,7 @@
 """Schema, patterns, graph algorithms and scores on small vectors."""
 
 import itertools
+import random
 
 import pandas as pd
 import pytest
@@ -203,3 +204,29 @@ def test_scores(spark):
 def test_renumber(spark):
     rows = spark.createDataFrame([(0, i, c) for i, c in enumerate([5, 5, 3, 3, 5, 10])], "p int, i int, c int")
     assert [r["number"] for r in sets.dense_numbers(rows, "c", "i", ["p"]).orderBy("i").collect()] == [0, 0, 1, 1, 0, 2]
+
+
+def test_louvain_by_component_is_the_same(spark, monkeypatch):
+    """Over the edges of one task, components are dealt out: the partition must not change."""
+    rng = random.Random(3)
+    pairs = {(f"n{g}-{a}", f"n{g}-{b}", rng.choice([0.5, 1.0, 3.0])) for g in range(12) for a, b in itertools.combinations(range(9), 2) if rng.random() < 0.4}
+    adjacent = spark.createDataFrame([*pairs, *((b, a, w) for a, b, w in pairs)], "src string, dst string, w double")
+    nodes = spark.createDataFrame([(f"n{g}-{i}",) for g in range(12) for i in range(9)] + [("z",)], "id string")
+    parts = lambda: sorted(map(tuple, cluster.louvain(nodes, adjacent).collect()))
+    whole = parts()
+    monkeypatch.setattr(cluster, "LOCAL_EDGES", 50)
+    assert parts() == whole and len(whole) == 109
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_against_a_loop(spark, seed):
+    """Sparse random graphs, a path downwards and a star with the greatest node in its middle."""
+    rng = random.Random(seed)
+    edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(50)] + [(200 - i, 199 - i) for i in range(40)] + [(400, 300 + i) for i in range(20)]
+    ids = [*range(80), *range(160, 201), *range(300, 320), 400]
+    least = {i: i for i in ids}
+    while any(least[a] != least[b] for a, b in edges):
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    got = components.connected(spark.createDataFrame([(i,) for i in ids], "id long"), spark.createDataFrame(edges, "a long, b long"))
+    assert {r["id"]: r["component"] for r in got.collect()} == least and got.count() == len(ids)
