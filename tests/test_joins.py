@@ -32,3 +32,24 @@ def test_first_of_name(spark):
     symbols = spark.createDataFrame([("a", "Z", "2"), ("a", "Y", "3"), ("a", "Y", "1"), (None, "X", "9")], "name string, label string, id string")
     got = joins.first_of_name(left, "name", symbols, F.col("label"), F.col("id")).orderBy("k").collect()
     assert [tuple(r) for r in got] == [(1, "a", "Y", "1"), (4, "a", "Y", "1")]
+
+
+def test_times_are_rounded_as_in_sql(spark, tmp_path):
+    """Half a second before an hour or a week's end belongs to the next second."""
+    import duckdb
+    from support import same_rows
+
+    from tesselar.catalog import ORACLES, QUERIES
+
+    made = [("purchase", t) for t in ("2024-01-08 00:00:00.5", "2024-01-08 00:00:00.6", "2024-01-08 00:00:01.4", "2024-01-03 00:00:00.7")]
+    made += [("click", t) for t in ("2024-01-01 00:59:59.4", "2024-01-01 00:59:59.6", "2024-01-01 02:59:59.7")] + [("view", t) for t in ("2024-01-01 01:10:00.2", "2024-01-01 05:59:59.8")]
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    rows = ", ".join(f"({i}, TIMESTAMP '{t}', 1, '{kind}')" for i, (kind, t) in enumerate(made))
+    con.execute(f"CREATE TABLE events AS SELECT * FROM (VALUES {rows}) v(event_id, ts, user_id, event_type)")
+    con.execute("CREATE TABLE orders AS SELECT 1::BIGINT AS o_orderkey, TIMESTAMP '2024-01-01' - to_seconds(852076800) AS o_orderdate")
+    for t in ("events", "orders"):
+        con.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    for name in ("range_overlap_join", "nearest_key_join"):
+        ours, theirs = same_rows(QUERIES[name](spark, str(tmp_path)), con, ORACLES[name])
+        assert ours == theirs and ours
