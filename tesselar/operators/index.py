@@ -68,9 +68,9 @@ def edges(parsed: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return known, lost
 
 
-def run(files: DataFrame) -> tuple[PropertyGraph, DataFrame]:
-    """The graph of files (path, language, size_bytes, content), and what the parsers gave (for references and errors)."""
-    parsed = cut(parsing.parse_files(files.where("content is not null")))
+def run(files: DataFrame, strict: bool = False) -> tuple[PropertyGraph, DataFrame]:
+    """The graph of files (path, language, size_bytes, content), and what the parsers gave (for references and errors). strict: a file that can't be read fails the job."""
+    parsed = cut(parsing.parse_files(files if strict else files.where("content is not null"), strict))
     dirs, contains = folders(files)
     nodes = _shaped(dirs).unionByName(_shaped(file_nodes(files))).unionByName(_shaped(symbol_nodes(parsed)))
     nodes = cut(nodes)

@@ -13,7 +13,7 @@ from tesselar.parsing.python import Python
 from tesselar.parsing.rust import Rust
 
 EXTRACTORS = {x.language: x for x in (Rust, Python, TypeScript, Java, Kotlin, Swift, ObjC, C, Cpp, Go)}
-MOST_BYTES = 1 << 20
+BATCH = 20_000  # rows
 SCHEMA = "file string, language string, seq int, record string, label string, name string, qualified_name string, start_line long, end_line long, visibility string, properties map<string,string>, kind string, from_qualified_name string, to_qualified_name string, error string"
 
 
@@ -21,34 +21,45 @@ def parse(source: str, path: str, language: str) -> tuple[list[Node], list[Ref]]
     return EXTRACTORS[language](source, path).parse()
 
 
-def _rows(path: str, language: str, source: str | None) -> Iterator[tuple]:
+def _rows(path: str, language: str, source: str | None, strict: bool = False) -> Iterator[tuple]:
     blank = (None,) * 7
+    if strict and (source is None or language not in EXTRACTORS):
+        raise ValueError(f"{path}: no source, or no parser for {language}")
     if source is None or language not in EXTRACTORS:
         return
-    if len(source.encode()) > MOST_BYTES:
-        yield (path, language, 0, "error", *blank, None, None, None, f"over {MOST_BYTES} bytes")
-        return
+    n = k = 0
     try:
-        nodes, refs = parse(source, path, language)
+        for nodes, refs in EXTRACTORS[language](source, path).parts():
+            for x in nodes:
+                yield (path, language, n, "node", x.label, x.name, x.qualified_name, x.start_line, x.end_line, x.visibility, x.properties, None, None, None, None)
+                n += 1
+            for r in refs:
+                yield (path, language, k, "ref", *blank, r.kind, r.from_qualified_name, r.to_qualified_name, None)
+                k += 1
     except (SyntaxError, RecursionError, ValueError, KeyError, IndexError) as e:  # a file that can't be read is a row, not a failed job
+        if strict:
+            raise
         yield (path, language, 0, "error", *blank, None, None, None, f"{type(e).__name__}: {e}"[:300])
-        return
-    for i, n in enumerate(nodes):
-        yield (path, language, i, "node", n.label, n.name, n.qualified_name, n.start_line, n.end_line, n.visibility, n.properties, None, None, None, None)
-    for i, r in enumerate(refs):
-        yield (path, language, i, "ref", *blank, r.kind, r.from_qualified_name, r.to_qualified_name, None)
 
 
-def parse_files(files: DataFrame) -> DataFrame:
-    """SCHEMA rows (records node, ref and error) of files (path, language, content). Arrow batches in, rows out; a file is in one task."""
+def parse_files(files: DataFrame, strict: bool = False) -> DataFrame:
+    """SCHEMA rows (records node, ref and error) of files (path, language, content), of any length. Arrow batches in, rows out; a file is in one task.
+
+    An error comes after what was found before it. strict: an error fails the job, for sources that must be read.
+    """
     names = [f.split()[0] for f in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
         for batch in batches:
-            for k in range(0, len(batch), 64):
-                part = batch.iloc[k : k + 64]
-                rows = [r for p, lang, c in zip(part.path, part.language, part.content, strict=True) for r in _rows(p, lang, c)]
-                yield pd.DataFrame(rows, columns=names)
+            for p, lang, c in zip(batch.path, batch.language, batch.content, strict=True):
+                for r in _rows(p, lang, c, strict):
+                    rows.append(r)
+                    if len(rows) == BATCH:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
     return files.select("path", "language", "content").mapInPandas(run, SCHEMA)
 

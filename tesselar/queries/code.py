@@ -12,11 +12,14 @@ from tesselar.operators import index, resolve
 from tesselar.queries.registry import query
 from tesselar.tables import table
 
+FILE_PARTS = 64
+
 
 def _files(spark: SparkSession, sf_dir: str, language: str, extension: str, item: Column) -> DataFrame:
     """A file for each brand, with an item for each of its parts."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", item.alias("item")))), lambda x: x["item"]), "\n")
-    files = table(spark, sf_dir, "part").groupBy("p_brand").agg(text.alias("content"))
+    # Files are few and long: as many partitions as would hold them one by one, which adaptive execution doesn't join.
+    files = table(spark, sf_dir, "part").repartition(FILE_PARTS, "p_brand").groupBy("p_brand").agg(text.alias("content"))
     path = F.concat(F.lit("src/"), F.regexp_replace("p_brand", "#", "_"), F.lit(extension))
     return files.select(path.alias("path"), F.lit(language).alias("language"), F.octet_length("content").cast("long").alias("size_bytes"), "content")
 
@@ -36,13 +39,13 @@ PATH = "'src/' || replace(p_brand, '#', '_') || '.{0}'"
 @query(f"SELECT {PATH.format('py')} AS file, label, count(*) AS n FROM part, (SELECT unnest(['Function', 'CallSite', 'Constant']) AS label) GROUP BY ALL")
 def parse_python_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.concat(F.lit("MAX_"), _key(), F.lit(" = 1\ndef part_"), _key(), F.lit("(a):\n    return call_"), F.col("p_size").cast("string"), F.lit("(a.method('def x(): pass'))"))
-    parsed = parsing.parse_files(_files(spark, sf_dir, "python", ".py", item))
+    parsed = parsing.parse_files(_files(spark, sf_dir, "python", ".py", item), strict=True)
     return parsed.where("record = 'node'").groupBy("file", "label").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT {PATH.format('rs')} AS file, label, count(*) AS n FROM part, (SELECT unnest(['Struct', 'Field', 'Field', 'Function', 'CallSite', 'CallSite']) AS label) GROUP BY ALL")
 def parse_rust_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsing.parse_files(_rust(spark, sf_dir)).where("record = 'node'").groupBy("file", "label").agg(F.count("*").alias("n"))
+    return parsing.parse_files(_rust(spark, sf_dir), strict=True).where("record = 'node'").groupBy("file", "label").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -51,7 +54,7 @@ SELECT rel, count(*) AS n FROM part, (SELECT unnest(['Defines_File_Struct', 'Def
 UNION ALL SELECT 'Contains_Dir_File', count(DISTINCT p_brand) FROM part"""
 )
 def index_source_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.run(_rust(spark, sf_dir))[0].edge_count()
+    return index.run(_rust(spark, sf_dir), strict=True)[0].edge_count()
 
 
 @query(
@@ -61,7 +64,7 @@ UNION ALL SELECT 'Calls_Function_StdlibSymbol', {PATH.format('rs')} || '::f' ||
 )
 def resolve_source_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What fields' types and macros resolve to; the helpers that are called are not among the files."""
-    graph, _ = index.run(_rust(spark, sf_dir))
+    graph, _ = index.run(_rust(spark, sf_dir), strict=True)
     return resolve.run(graph, "rust")[0].edges.where("confidence is not null").select("rel", "from_id", "to_id", "confidence")
 
 
@@ -91,7 +94,7 @@ def _parser(language: str) -> None:
     listed = ", ".join(f"'{x}'" for x in labels)
 
     def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = parsing.parse_files(_files(spark, sf_dir, language, extension, _written(template)))
+        rows = parsing.parse_files(_files(spark, sf_dir, language, extension, _written(template)), strict=True)
         return rows.where("record = 'node'").groupBy("file", "label").agg(F.count("*").alias("n"))
 
     parsed.__name__ = f"parse_{language}_nodes"

@@ -63,7 +63,7 @@ UNION ALL SELECT 'Imports_File_Struct', {USER}, {LIB} || '::S' || p_partkey, 1.0
 
 
 def _resolved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    graph, parsed = index.run(_code(spark, sf_dir))
+    graph, parsed = index.run(_code(spark, sf_dir), strict=True)
     refs = parsed.where("record = 'ref'").select("kind", "from_qualified_name", "to_qualified_name")
     done, stats, missing = resolve.run(graph, "rust", refs)
     return done.edges.where("confidence is not null"), stats, missing
@@ -78,7 +78,7 @@ def resolve_calls_and_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT {USER} AS file, 'Q' || p_size AS name, CASE WHEN n = 1 THEN 1.0 ELSE 0.7 END::DOUBLE AS confidence FROM (SELECT DISTINCT p_brand, p_size FROM part) JOIN (SELECT p_size, count(DISTINCT p_brand) AS n FROM part GROUP BY p_size) USING (p_size)")
 def import_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Imports of names that several files have are less certain."""
-    found = resolve.imports(index.run(_code(spark, sf_dir))[0])[0].where("contains(to_id, '::Q')")
+    found = resolve.imports(index.run(_code(spark, sf_dir), strict=True)[0])[0].where("contains(to_id, '::Q')")
     return found.select(F.col("from_id").alias("file"), text.leaf(F.col("to_id")).alias("name"), "confidence").distinct()
 
 

@@ -245,3 +245,42 @@ def test_schemas():
     assert known["query_graph"]["graph_path"] == {"type": "string", "pattern": "^/"} and "pattern" in known["extract_finding"]["run_id"]
     assert known["extract_finding"]["finding"] == {"type": ["object", "string"]}
     assert {a for tool in known.values() for a, p in tool.items() if not p} == {"meta"}  # which can be anything
+
+
+def written(language, n):
+    """The queries' item for n parts."""
+    import re
+
+    from tesselar.queries.code import ITEMS
+
+    extra = {"python": "MAX_# = 1\n@deco\ndef part_#(a):\n    return call_%(a.method('def x(): pass'))\nif X:\n    A_# = '''\ndef no(): pass\n'''\nelse:\n    import m#\nclass K#(B):\n    def go(self): g#()\n", "rust": "#[derive(Debug)]\n#[cfg(x)]\npub struct P# { pub size: u32, next: Option<P#> }\nimpl P# { fn f#(&self) { helper::g%(); println!(\"fn {}\", 1); } }\nuse a::{b#, c as d#};\nmod m# { fn x() { y#(); } }"}
+    item = extra.get(language) or "#include <a#.h>\n" * (language in ("c", "cpp", "objc")) + ITEMS[language][1]
+    return "\n".join(re.sub(r"#(?=\W|$|\d)", str(i), item.replace("#include", "\0").replace("#define", "\1").replace("#[", "\2")).replace("%", str(i % 7)).replace("\0", "#include").replace("\1", "#define").replace("\2", "#[") for i in range(n))
+
+
+@pytest.mark.parametrize("language", ["python", "rust", "typescript", "java", "kotlin", "swift", "objc", "c", "cpp", "go"])
+def test_long_files_are_read_in_windows(monkeypatch, language):
+    """A window of a few tokens, in which no item has room, gives what the whole file gives."""
+    from tesselar.parsing import base, python
+
+    source = written(language, 40)
+    whole = parse(source, "x", language)
+    assert len(whole[0]) >= 120
+    for size in (8, 100, 333):
+        monkeypatch.setattr(base, "WINDOW", size)
+        monkeypatch.setattr(python, "PIECE", size)
+        assert parse(source, "x", language) == whole
+
+
+def test_no_file_is_too_long(spark):
+    """Over a megabyte, all is found; a file that can't be read fails a strict job, and is a row else."""
+    from tesselar.parsing import parse_files
+
+    long = "".join(f"pub struct P{i} {{ pub size: u32 }} // {'-' * 100}\n" for i in range(10_000))
+    broken = "x = 1\n" * 50_000 + "def ("
+    made = spark.createDataFrame([("a.rs", "rust", long), ("b.py", "python", broken)], "path string, language string, content string")
+    rows = parse_files(made)
+    assert len(long) > 1 << 20 and rows.where("label = 'Struct'").count() == 10_000
+    assert [r["record"] for r in rows.where("file = 'b.py'").collect()] == ["error"]
+    with pytest.raises(Exception, match="SyntaxError|was never closed"):
+        parse_files(made, strict=True).count()
