@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tesselar.parsing.base import Node, Ref
@@ -31,7 +31,7 @@ def _rows(path: str, language: str, source: str | None, strict: bool = False) ->
     try:
         for nodes, refs in EXTRACTORS[language](source, path).parts():
             for x in nodes:
-                yield (path, language, n, "node", x.label, x.name, x.qualified_name, x.start_line, x.end_line, x.visibility, x.properties, None, None, None, None)
+                yield (path, language, n, "node", x.label, x.name, x.qualified_name, x.start_line, x.end_line, x.visibility, list(x.properties.items()), None, None, None, None)
                 n += 1
             for r in refs:
                 yield (path, language, k, "ref", *blank, r.kind, r.from_qualified_name, r.to_qualified_name, None)
@@ -47,21 +47,25 @@ def parse_files(files: DataFrame, strict: bool = False) -> DataFrame:
 
     An error comes after what was found before it. strict: an error fails the job, for sources that must be read.
     """
-    names = [f.split()[0] for f in SCHEMA.split(", ")]
+    types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "map<string,string>": pa.map_(pa.string(), pa.string())}
+    schema = pa.schema([(name, types[kind]) for name, kind in (f.split() for f in SCHEMA.split(", "))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for batch in batches:
-            for p, lang, c in zip(batch.path, batch.language, batch.content, strict=True):
+            for p, lang, c in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
                 for r in _rows(p, lang, c, strict):
                     rows.append(r)
                     if len(rows) == BATCH:
-                        yield pd.DataFrame(rows, columns=names)
+                        yield batch_of(rows)
                         rows = []
         if rows:
-            yield pd.DataFrame(rows, columns=names)
+            yield batch_of(rows)
 
-    return files.select("path", "language", "content").mapInPandas(run, SCHEMA)
+    return files.select("path", "language", "content").mapInArrow(run, SCHEMA)
 
 
 __all__ = ["EXTRACTORS", "SCHEMA", "parse", "parse_files"]
