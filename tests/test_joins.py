@@ -53,3 +53,13 @@ def test_times_are_rounded_as_in_sql(spark, tmp_path):
     for name in ("range_overlap_join", "nearest_key_join"):
         ours, theirs = same_rows(QUERIES[name](spark, str(tmp_path)), con, ORACLES[name])
         assert ours == theirs and ours
+
+
+def test_by_name_is_dealt_out(spark):
+    """A name that many share: every pair once, over many partitions, however small the sides are; nulls meet nothing."""
+    left = spark.createDataFrame([(i, "hot" if i < 60 else None if i == 60 else f"n{i}") for i in range(80)], "a int, name string")
+    right = spark.createDataFrame([(i, "hot" if i < 50 else None if i == 50 else f"n{i}") for i in range(80)], "b int, name string")
+    got = joins.by_name(left, "name", right)
+    want = sorted([(a, b) for a in range(60) for b in range(50)] + [(i, i) for i in range(61, 80)])
+    assert sorted((r["a"], r["b"]) for r in got.collect()) == want and got.columns[0] == "name"
+    assert len({r[0] for r in got.select(F.spark_partition_id()).distinct().collect()}) > 1
