@@ -230,3 +230,17 @@ def test_components_against_a_loop(spark, seed):
             least[a] = least[b] = min(least[a], least[b])
     got = components.connected(spark.createDataFrame([(i,) for i in ids], "id long"), spark.createDataFrame(edges, "a long, b long"))
     assert {r["id"]: r["component"] for r in got.collect()} == least and got.count() == len(ids)
+
+
+def test_lines_are_dealt_out(spark, monkeypatch):
+    """More lines than the session's partitions should group: more partitions, the same edges."""
+    from support import SF
+
+    from tesselar import tables
+
+    lines = tables.table(spark, SF, "lineitem")
+    edges = lambda: tables.graph(spark, SF).of_kind("Calls", "Uses").groupBy("kind").agg(F.count("*"), F.sum("weight"), F.sum(F.xxhash64("from_id", "to_id", "weight") % 1000)).orderBy("kind").collect()
+    whole = edges()
+    monkeypatch.setattr(tables, "LINES_PER_PART", 500)
+    assert tables._spread(lines, "l_orderkey", "l_partkey").rdd.getNumPartitions() == -(-lines.count() // 500) > 4
+    assert edges() == whole
